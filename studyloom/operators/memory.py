@@ -21,7 +21,10 @@ def seed_hash(item: Column) -> Column:
 
 def _logs(reviews: DataFrame, keys: Sequence[str]) -> DataFrame:
     entry = F.struct(F.unix_micros("ts").alias("ts"), F.col("seq"), F.col("rating"))
-    return reviews.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(LOG))
+    # the fold costs far more per row than its size suggests, so its partition count is the configured one, not the
+    # one a size-based coalesce would choose
+    width = int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reviews.repartition(width, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(LOG))
 
 
 def _fold(logs: DataFrame, start: str, retention: float) -> Column:

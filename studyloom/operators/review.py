@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studyloom.functions import fsrs
 from studyloom.plans.ordered import Running, scan
+from studyloom.session import cut_lineage
 
 NEW_PER_SESSION = 20  # fixed value: new cards taken into one review
 MAX_QUESTIONS = 12  # fixed value: questions kept per idea
@@ -121,7 +122,8 @@ def review_queue(items: DataFrame, now: Column, learner: str = "learner_id", tz:
         .when(cls == 1, recall)
         .otherwise(F.unix_micros("created_utc").cast("double")),
     )
-    d = d.withColumn("_seg", F.when(cls == 2, F.col("segment")).otherwise(F.lit(0)))
+    # read four times below (new items, old items, carry rows, rows), so the replay behind it runs once
+    d = cut_lineage(d.withColumn("_seg", F.when(cls == 2, F.col("segment")).otherwise(F.lit(0))))
     w = Window.partitionBy(learner, "_class").orderBy("_key", "_seg", "item_kind", "item_key")
     old = d.filter(F.col("_class") < 2)
     new = d.filter(F.col("_class") == 2).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= NEW_PER_SESSION)

@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.plans.ordered import Running, by_day, by_index, number, scan
+from studyloom.plans.parallel import spread
+
+
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores."""
+    return spread(table(spark, sf, name))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

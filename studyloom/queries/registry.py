@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("memory", "review", "text")
+MODULES = ("memory", "review", "text", "web")
 
 
 class Registry:

@@ -17,7 +17,7 @@ R = Registry()
 
 
 def docs(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", "text")
+    return views.texts(spark, sf, "documents").select("doc_id", "text")
 
 
 def lines(spark, sf):
@@ -355,7 +355,7 @@ def narration_split(spark, sf):
 
 
 def _turns(spark, sf):
-    return views.table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
+    return views.texts(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", "text")
 
 
 @R.add("lesson_clips", f"""WITH RECURSIVE paras AS (SELECT conv_id, turn, unnest(l) AS t, generate_subscripts(l, 1) AS j FROM (
