@@ -222,15 +222,16 @@ def math_latex(math: Column) -> Column:
 
 
 def page_math(html: Column) -> Column:
-    """array<struct<latex, display, number>>; the number is that of the table row the formula is in."""
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(?:(?!</tr).)*?<math\b.*?</math\s*>.*?</tr\s*>|<math\b.*?</math\s*>"), F.lit(0))
+    """array<struct<latex, display, number>>; formulas of one table row are one, with the row's number."""
+    math = r"(?is)<math\b.*?</math\s*>"
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>.*?</tr\s*>|<math\b.*?</math\s*>"), F.lit(0))
 
     def one(r: Column) -> Column:
-        m = F.regexp_extract(r, r"(?is)(<math\b.*?</math\s*>)", 1)
-        rest = F.regexp_replace(r, r"(?is)<math\b.*?</math\s*>", "")
+        latex = F.filter(F.transform(F.regexp_extract_all(r, F.lit(math), F.lit(0)), math_latex), lambda l: l.isNotNull())
+        rest = F.regexp_replace(r, math, "")
         number = F.nullif(F.regexp_extract(rest, r">\s*\(\s*([A-Z]?[\d.]+[a-z]?)\s*\)\s*<", 1), F.lit(""))
-        display = m.rlike(r"""(?is)^<math\b[^>]*\s(?:display\s*=\s*"block"|mode\s*=\s*"display")""") | r.rlike("(?i)^<tr")
-        return F.struct(math_latex(m).alias("latex"), display.alias("display"), number.alias("number"))
+        display = r.rlike(r"""(?is)^<math\b[^>]*\s(?:display\s*=\s*"block"|mode\s*=\s*"display")""") | r.rlike("(?i)^<tr")
+        return F.struct(F.nullif(F.array_join(latex, " "), F.lit("")).alias("latex"), display.alias("display"), number.alias("number"))
 
     return F.filter(F.transform(rows, one), lambda m: m["latex"].isNotNull())
 
