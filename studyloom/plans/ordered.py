@@ -1,10 +1,13 @@
 """Running values over an ordered sequence whose key may be hot.
 
 `Window.partitionBy(key)` puts a whole key into one task: a paper or learner holding a third of all rows would stall
-the job. Here the sequence of a key is cut into buckets by an order-preserving expression (`idx div 1024`, a day).
-Rows are shuffled by (key, bucket); each bucket is reduced to one carry row by a map-side combined aggregate; only the
-carry rows, a thousandth of the input, are scanned per key; and the carry is joined back by (key, bucket), where the
-row-level windows run without another exchange.
+the job. `is_hot` measures the largest key with one pre-aggregated count over the key columns. Below the limit
+(`spark.studyloom.maxKeyRows`) plain windows are used: one exchange serves every running column of a sequence.
+
+Above it the sequence of a key is cut into buckets by an order-preserving expression (`idx div 1024`, a day). Rows are
+shuffled by (key, bucket); each bucket is reduced to one carry row by a map-side combined aggregate; only the carry
+rows, a thousandth of the input, are scanned per key; and the carry is joined back by (key, bucket), where the
+row-level windows run without another exchange. The input is read twice for that, so it is checkpointed first.
 
 The bucket expression must be monotone in the order columns: a row of a later bucket sorts after every row of an
 earlier one. The order columns must be unique within a key.
@@ -18,7 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studyloom.session import cut_lineage
+
 BUCKET = "_bucket"
+MAX_KEY_ROWS = 4_000_000
 DAY_MICROS = 86_400_000_000
 
 
@@ -45,16 +51,56 @@ class Running:
     value: Column
 
 
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, specs: Sequence[Running]) -> DataFrame:
+def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Does one key hold more rows than a task should get?"""
+    limit = int(df.sparkSession.conf.get("spark.studyloom.maxKeyRows", str(MAX_KEY_ROWS)))
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return largest > limit
+
+
+def scan(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, specs: Sequence[Running], hot: bool | None = None
+) -> DataFrame:
     """`df` with one column per spec. See the module docstring for the plan.
 
-    A `_bucket` column already present is kept, so consecutive scans over one sequence share their partitioning.
+    Operators that scan one sequence several times measure it once and pass `hot`.
     """
+    if hot is None:
+        hot = is_hot(df, keys)
+    return _scan_buckets(df, keys, order, bucket, specs) if hot else _scan_whole(df, keys, order, specs)
+
+
+def _scan_whole(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[Running]) -> DataFrame:
+    pos = [F.col(c) for c in order]
+    w = Window.partitionBy(*keys).orderBy(*pos)
+    rev = Window.partitionBy(*keys).orderBy(*[p.desc() for p in pos])
+    out = {}
+    for s in specs:
+        to = -1 if s.kind.endswith(("_before", "_after")) else 0
+        upto, from_end = (x.rowsBetween(Window.unboundedPreceding, to) for x in (w, rev))
+        if s.kind.startswith("sum"):
+            out[s.name] = F.coalesce(F.sum(s.value).over(upto), F.lit(0))
+        elif s.kind.startswith("max"):
+            out[s.name] = F.max(s.value).over(upto)
+        elif s.kind.startswith("last"):
+            out[s.name] = F.last(s.value, ignorenulls=True).over(upto)
+        elif s.kind.startswith("next"):
+            out[s.name] = F.last(s.value, ignorenulls=True).over(from_end)
+        elif s.kind == "lag":
+            out[s.name] = F.lag(s.value).over(w)
+        elif s.kind == "lead":
+            out[s.name] = F.lead(s.value).over(w)
+        else:
+            raise ValueError(s.kind)
+    return df.withColumns(out)
+
+
+def _scan_buckets(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, specs: Sequence[Running]
+) -> DataFrame:
     keys, order = list(keys), list(order)
-    had_bucket = BUCKET in df.columns
-    d = df if had_bucket else df.withColumn(BUCKET, bucket)
     vals = {f"_v_{s.name}": s.value for s in specs}
-    d = d.withColumns(vals)
+    d = cut_lineage(df.withColumn(BUCKET, bucket).withColumns(vals))
     pos = [F.col(c) for c in order]
     aggs = []
     for s in specs:
@@ -123,11 +169,12 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Colum
         else:
             nxt = F.lead(F.struct(v.alias("v"))).over(w)
             out[s.name] = F.when(nxt.isNotNull(), nxt["v"]).otherwise(c)
-    drop = [*vals, *[f"_c_{s.name}" for s in specs]] + ([] if had_bucket else [BUCKET])
-    return j.withColumns(out).drop(*drop)
+    return j.withColumns(out).drop(*vals, *[f"_c_{s.name}" for s in specs], BUCKET)
 
 
-def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str, start: int = 0) -> DataFrame:
-    """Dense position within the key (`start`, `start`+1, …) without putting a key into one task."""
-    d = scan(df, keys, order, bucket, [Running(name, "sum_before", F.lit(1).cast("long"))])
+def number(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str, start: int = 0, hot: bool | None = None
+) -> DataFrame:
+    """Dense position within the key (`start`, `start`+1, …)."""
+    d = scan(df, keys, order, bucket, [Running(name, "sum_before", F.lit(1).cast("long"))], hot)
     return d.withColumn(name, (F.col(name) + F.lit(start)).cast("long"))

@@ -12,6 +12,7 @@ from studyloom.functions import text as T
 from studyloom.operators import structure as S
 from studyloom.plans import views
 from studyloom.queries.registry import Registry
+from studyloom.session import cut_lineage
 
 R = Registry()
 
@@ -185,7 +186,7 @@ def text_blocks(spark, sf):
 FROM blocks b LEFT JOIN (SELECT DISTINCT doc_id FROM blocks WHERE kind = 'break') p ON p.doc_id = b.doc_id""")
 def page_numbers(spark, sf):
     """Pages by breaks, or by 3000 characters."""
-    return S.paginate(book_blocks(spark, sf)).select("doc_id", "ord", "page")
+    return S.paginate(cut_lineage(book_blocks(spark, sf))).select("doc_id", "ord", "page")
 
 
 @R.add("section_numbers", f"""WITH {BOOK_BLOCKS} SELECT doc_id, ord,
@@ -193,7 +194,7 @@ def page_numbers(spark, sf):
 WHERE TRUE""")
 def section_numbers(spark, sf):
     """Section of every block (no block repeats the title "A title")."""
-    return S.sectionize(book_blocks(spark, sf), F.lit("A title")).select("doc_id", "ord", "section")
+    return S.sectionize(cut_lineage(book_blocks(spark, sf)), F.lit("A title")).select("doc_id", "ord", "section")
 
 
 @R.add("document_titles", f"""WITH {BOOK_BLOCKS} SELECT doc_id, CASE WHEN kind = 'heading' OR (kind = 'paragraph' AND length(text) <= 100 AND NOT text LIKE '%.') THEN text END AS title
