@@ -204,3 +204,47 @@ def listened_percent(last_segment: Column, segment_count: Column) -> Column:
     pct = F.floor(last_segment * F.lit(100) / F.greatest(segment_count, F.lit(1)))
     return F.when(segment_count > 0, pct).otherwise(F.lit(0)).cast("long")
 
+
+
+def parse_cards(replies: DataFrame, existing: DataFrame, visuals: DataFrame, sections: DataFrame, shown: DataFrame, ends: DataFrame, now: Column) -> DataFrame:
+    """New cards of replies(paper_id, reply_id, origin, position, text).
+
+    Cards missing a side, and fronts (normalised) that exist already or came earlier, are left out; a visual must exist;
+    the segment is the named section's first, for a whole paper's deck else where the visual is first shown, else the
+    position, within the paper. sections(paper, section, first_segment), shown(paper, visual_id, first_segment), ends(paper, last).
+    """
+    from studyloom.functions import replies as Y
+
+    key = ["paper_id"]
+    c = replies.select(*key, "reply_id", "origin", "position", F.posexplode(Y.reply_cards(F.col("text"))).alias("ord", "c"))
+    c = c.select(
+        *key, "reply_id", "origin", "position", "ord", F.trim("c.front").alias("front"), F.trim("c.back").alias("back"), F.col("c.showOn").alias("_on"),
+        F.when(~F.coalesce("c.show", F.lit("")).isin("", "null", "none"), Y.strip_chars(F.col("c.show"), r"\[\] ")).alias("_show"), F.col("c.section").try_cast("int").alias("section"),
+    ).filter("front <> '' AND back <> ''")
+    c = c.withColumn("_norm", Y.normal_front(F.col("front")))
+    c = c.join(existing.select(*key, Y.normal_front(F.col("front")).alias("_norm")).distinct(), [*key, "_norm"], "left_anti")
+    cols = c.columns
+    c = c.groupBy(*key, "_norm").agg(F.min_by(F.struct(*cols), F.struct("reply_id", "ord")).alias("_c")).select("_c.*")
+    c = c.join(visuals.select(*key, F.col("visual_id").alias("_show"), F.col("visual_id").alias("visual")).distinct(), [*key, "_show"], "left")
+    c = c.join(sections.filter("section > 0").select(*key, "section", F.col("first_segment").alias("_sec")), [*key, "section"], "left")
+    c = c.join(shown.select(*key, F.col("visual_id").alias("visual"), F.col("first_segment").alias("_first")), [*key, "visual"], "left").join(ends, key)
+    seg = F.coalesce("_sec", F.when(F.col("origin") == "paper", F.col("_first")), "position")
+    return c.select(
+        *key, "reply_id", "ord", F.sha2(F.concat_ws("|", F.col("paper_id").cast("string"), "_norm"), 256).alias("card_id"), "front", "back", "visual",
+        (F.col("visual").isNotNull() & (F.coalesce("_on", F.lit("")) == "front")).alias("visual_on_front"), F.greatest(F.lit(0), F.least(seg, "last")).alias("segment"), "origin", now.alias("created_utc"),
+    )
+
+
+def known_list(concepts: DataFrame, now: Column, learner: str = "learner_id", tz: str = "UTC") -> DataFrame:
+    """Studied ideas as listed: percent remembered, when the review is, where it is from; in order of their names.
+
+    Sorted within each learner's own list (`sort_name`), not globally.
+    """
+    c = concepts.filter("stage <> 'New'")
+    pct = F.rint(strength(F.col("stage"), F.col("stability"), F.col("last_review"), now) * 100).cast("int")
+    wait = (F.unix_micros("due") - F.unix_micros(now)) / 1_000_000
+    nxt = F.when(fsrs.is_due(F.col("stage"), F.col("due"), now, tz), "review due").otherwise(F.concat(F.lit("review in "), fsrs.format_interval(wait)))
+    n = F.size("sources")
+    more = F.when(n > 1, F.concat(F.lit(" and "), (n - 1).cast("string"), F.lit(" more"))).otherwise("")
+    origin = F.when(n > 0, F.concat(F.lit("from "), F.col("sources")[0]["title"], more)).otherwise("")
+    return c.select(learner, "concept_id", F.lower("name").alias("sort_name"), pct.alias("percent"), nxt.alias("next"), origin.alias("origin"))

@@ -59,7 +59,7 @@ def ocr_running_text(spark, sf):
 per AS (SELECT doc_id, page, arg_max(ord, ord) AS lo, arg_max(kind, ord) AS lk, arg_max(content, ord) AS lc, arg_min(ord, ord) FILTER (kind IN ('text', 'title', 'equation')) AS fo,
   arg_min(kind, ord) FILTER (kind IN ('text', 'title', 'equation')) AS fk, arg_min(content, ord) FILTER (kind IN ('text', 'title', 'equation')) AS fc, count(*) AS n FROM b GROUP BY ALL),
 walk AS (
-  SELECT doc_id, page, lo, lk, lc, fo, n, FALSE AS joined, CAST(NULL AS INTEGER) AS to_ord FROM per p WHERE NOT EXISTS (SELECT 1 FROM per q WHERE q.doc_id = p.doc_id AND q.page = p.page - 1)
+  SELECT doc_id, page, lo, lk, lc, fo, n, FALSE AS joined, CAST(NULL AS BIGINT) AS to_ord FROM per p WHERE NOT EXISTS (SELECT 1 FROM per q WHERE q.doc_id = p.doc_id AND q.page = p.page - 1)
   UNION ALL
   SELECT p.doc_id, p.page, p.lo, p.lk, p.lc, p.fo, p.n, coalesce(w.lk = 'text' AND NOT regexp_matches(rtrim(w.lc), '[.!?:;]$') AND p.fk = 'text' AND regexp_matches(ltrim(p.fc), '^\\p{{Ll}}')
     AND NOT (w.joined AND w.n = 1), FALSE), w.lo FROM walk w JOIN per p ON p.doc_id = w.doc_id AND p.page = w.page + 1),
