@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("memory", "review", "text", "web", "catalog", "narration", "ask", "study", "layout", "sources", "streaming")
+MODULES = ("memory", "review", "text", "web", "catalog", "narration", "ask", "study", "layout", "sources", "streaming", "markdown")
 
 
 class Registry:

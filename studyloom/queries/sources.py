@@ -86,6 +86,17 @@ def paper_deleted(spark, sf):
     return C.delete_paper(C.delete_paper(p, "../x"), hashlib.sha256(b"7").hexdigest()[:16])
 
 
+@R.add("scripts_stored", f"WITH {Q.SEGMENTS} SELECT paper_id, idx, kind, section, say FROM segments WHERE paper_id % 5 <> 0")
+def scripts_stored(spark, sf):
+    """Scripts written and read back; papers stored by another version are absent."""
+    from studyloom.streaming.streams import shared_folder
+
+    s = views.segments(spark, sf).select("paper_id", "idx", "kind", "section", "say")
+    folder = shared_folder(spark, "scripts")
+    B.write_script(s.withColumn("version", F.when(F.col("paper_id") % 5 == 0, 2).otherwise(B.SCRIPT_VERSION)), folder)
+    return B.read_script(spark, folder)
+
+
 def _memory_json(spark, sf):
     m = memory.unpack(memory.replay(views.reviews(spark, sf)))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -23,8 +23,9 @@ OUTCOMES = {"learned": "learned", "testedOut": "tested out", "known": "known", "
 
 
 def write_script(scripts: DataFrame, path: str) -> None:
-    """Nested scripts(paper_id, …), one folder per version, replaced as a whole by the sink's commit."""
-    scripts.withColumn("version", F.lit(SCRIPT_VERSION)).write.mode("overwrite").partitionBy("version").parquet(path)
+    """Scripts (segments, sections or visuals by paper), one folder per version, replaced as a whole by the sink's commit."""
+    versioned = scripts if "version" in scripts.columns else scripts.withColumn("version", F.lit(SCRIPT_VERSION))
+    versioned.write.mode("overwrite").partitionBy("version").parquet(path)
 
 
 def read_script(spark: SparkSession, path: str) -> DataFrame:
