@@ -264,7 +264,7 @@ def reading_order(spark, sf):
     return L.reading_order(lines(spark, sf)).select("line_id", "doc_id", "seq")
 
 
-@R.add("rows_grouped", """WITH w AS (SELECT l_orderkey // 20 AS page, l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS word_id, 40 + l_quantity * 10 AS lo, 60 + l_quantity * 10 AS hi, 700 - (l_partkey % 60) * 11.0::DOUBLE + (l_suppkey % 4) AS baseline,
+@R.add("rows_grouped", """WITH w AS (SELECT l_orderkey // 20 AS page, l_orderkey * 100000000000 + l_linenumber * 10000000000 + l_partkey * 100 + CAST(l_quantity AS BIGINT) AS word_id, 40 + l_quantity * 10 AS lo, 60 + l_quantity * 10 AS hi, 700 - (l_partkey % 60) * 11.0::DOUBLE + (l_suppkey % 4) AS baseline,
   CASE WHEN l_linenumber = 7 THEN 6.0 ELSE 10.0 END::DOUBLE AS size FROM lineitem),
 m AS (SELECT *, CASE WHEN lag(-baseline) OVER p IS NULL OR -baseline - lag(-baseline) OVER p > 0.3 * 10 THEN 1 ELSE 0 END AS new FROM w WHERE size = 10 WINDOW p AS (PARTITION BY page ORDER BY -baseline, word_id)),
 r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY page ORDER BY -baseline, word_id) AS BIGINT) AS "row", CASE WHEN (lo + hi) / 2 < 306 THEN 'left' ELSE 'right' END AS region FROM m),
@@ -275,7 +275,7 @@ SELECT word_id, page, "row", region FROM r UNION ALL SELECT word_id, page, "row"
 def rows_grouped(spark, sf):
     """Words to rows; seventh line items are scripts."""
     w = views.table(spark, sf, "lineitem").select(
-        F.lit(1).alias("doc_id"), F.floor(F.col("l_orderkey") / 20).alias("page"), (F.col("l_orderkey") * 10000000 + F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("word_id"), (40 + F.col("l_quantity") * 10).alias("left"), (60 + F.col("l_quantity") * 10).alias("right"),
+        F.lit(1).alias("doc_id"), F.floor(F.col("l_orderkey") / 20).alias("page"), F.expr("l_orderkey * 100000000000 + l_linenumber * 10000000000 + l_partkey * 100 + CAST(l_quantity AS BIGINT)").alias("word_id"), (40 + F.col("l_quantity") * 10).alias("left"), (60 + F.col("l_quantity") * 10).alias("right"),
         (700 - (F.col("l_partkey") % 60) * 11.0 + F.col("l_suppkey") % 4).alias("baseline"), F.when(F.col("l_linenumber") == 7, 6.0).otherwise(10.0).alias("size"),
     )
     body = w.select("doc_id").distinct().withColumn("body", F.lit(10.0))
