@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions import titles as N
+from studyloom.session import cut_lineage
 
 PAGE_SIZE = 20  # fixed value: results per page
 SAME_TITLE = 0.8  # fixed value: similarity from which two titles are one work's
@@ -108,7 +109,8 @@ def identify(papers: DataFrame, works: DataFrame, paper: str = "paper_id", key:
     """(paper, key, similarity): the most similar work with (nearly) the same title, if any."""
     clean = F.trim(F.regexp_replace(title, r"[,:;|!?()\[\]{}\"]", " "))
     p = _title_sets(papers.filter(F.length(clean) >= LOOKED_AT), title).select(paper, "_set")
-    w = _title_sets(works, title).groupBy("_set").agg(F.min(key).alias(key))
+    # word sets are read four times below and are far smaller than the works, so they are stored once
+    w = cut_lineage(_title_sets(works, title).groupBy("_set").agg(F.min(key).alias(key)))
     pairs = similar_titles(p.select("_set").distinct(), w.select("_set"))
     best = pairs.join(w.withColumnRenamed("_set", "_b"), "_b").groupBy("_a").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), F.col(key))).alias("_m")

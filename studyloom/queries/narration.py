@@ -12,6 +12,7 @@ from studyloom.plans import views
 from studyloom.queries import sqlviews as Q
 from studyloom.queries.registry import Registry
 from studyloom.queries.text import LINES, lines
+from studyloom.session import cut_lineage
 
 R = Registry()
 
@@ -214,7 +215,7 @@ def visuals_known_before(spark, sf):
 
 def _drafts(spark, sf):
     """A model's drafts: one per unit except some equations, some pointing back or nowhere; every fifth document is summarised."""
-    u = _units(spark, sf)
+    u = cut_lineage(_units(spark, sf))
     d = u.filter("NOT (kind = 'equation' AND ord % 2 = 0) AND NOT (doc_id % 5 = 0 AND ord % 2 = 1)")
     src = F.when(F.col("ord") % 7 == 3, F.concat(F.lit("U"), (F.col("ord") - 2).cast("string"))).when(F.col("ord") % 11 == 5, "X").otherwise(F.col("unit_id"))
     return d.select("doc_id", "chunk", F.col("ord").alias("d_ord"), src.alias("src"), F.when(F.col("ord") % 13 == 6, "").otherwise(F.concat(F.lit("draft "), F.col("ord").cast("string"))).alias("say")), u
@@ -267,10 +268,10 @@ line AS (SELECT s.paper_id, s.idx, c.duration_ms, coalesce(sum(coalesce(c.durati
 
 
 def _positions(spark, sf):
-    s, c = views.segments(spark, sf), views.clips(spark, sf)
+    s, c = cut_lineage(views.segments(spark, sf)), views.clips(spark, sf)
     d = s.join(c, ["paper_id", "idx"], "left")
     off = F.when(F.col("duration_ms").isNull(), 0).otherwise((F.col("k") * 37) % F.col("duration_ms"))
-    return d.select(F.col("event_id").alias("pos_id"), "paper_id", "idx", off.alias("offset_ms")), A.timeline(s, c)
+    return d.select(F.col("event_id").alias("pos_id"), "paper_id", "idx", off.alias("offset_ms")), cut_lineage(A.timeline(s, c))
 
 
 @R.add("seek_back", f"""WITH {Q.SEGMENTS}, {_POS}, p AS (SELECT pos.*, l.st - (15000 - offset_ms) AS at, 15000 - offset_ms AS rest FROM pos JOIN line l ON l.paper_id = pos.paper_id AND l.idx = pos.idx),
