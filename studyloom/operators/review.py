@@ -102,13 +102,13 @@ def create_ideas(checks: DataFrame, known: DataFrame, keys: list[str]) -> DataFr
     return first.withColumn("memory", memory)
 
 
-def review_queue(items: DataFrame, now: Column, learner: str = "learner_id", tz: str = "UTC") -> DataFrame:
+def review_queue(items: DataFrame, now: Column, learner: str = "learner_id", tz: str = "UTC", hot: bool | None = None) -> DataFrame:
     """What to review now, in order, per learner.
 
     items(learner, item_key, item_kind, stage, due, stability, last_review, created_utc, segment); ideas without a
     question are to be left out before. Steps by due, then reviews by recall, then at most 20 new items by
     (created, segment). One window when no learner is hot; otherwise the new items are cut to 20 by a row_number limit
-    (pruned before the shuffle) and positions come from a bucketed scan.
+    (pruned before the shuffle) and positions come from a bucketed scan. `hot` says so when the caller knows.
     """
     items = items.filter("item_kind = 'card' OR stage <> 'New'")
     due = items.filter(fsrs.is_due_for_review(F.col("stage"), F.col("due"), now, tz))
@@ -125,7 +125,9 @@ def review_queue(items: DataFrame, now: Column, learner: str = "learner_id", tz:
     d = d.withColumn("_seg", F.when(cls == 2, F.col("segment")).otherwise(F.lit(0)))
     order = ["_class", "_key", "_seg", "item_kind", "item_key"]
     extra = ["_class", "_key", "_seg"]
-    if not is_hot(items, [learner]):
+    if hot is None:
+        hot = is_hot(items, [learner])
+    if not hot:
         # new items sort last, so leaving the later ones out does not move anything before them
         w = Window.partitionBy(learner)
         old = F.count_if(F.col("_class") < 2).over(w)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from studyloom.functions import fsrs
 from studyloom.operators import memory, review
 from studyloom.plans import views
+from studyloom.plans.ordered import is_hot
 from studyloom.queries import sqlviews as Q
 from studyloom.queries.memory import memories, now
 from studyloom.queries.registry import Registry
@@ -44,6 +45,11 @@ def items(spark, sf):
     return reviewed.unionByName(fresh)
 
 
+def many_items(spark, sf):
+    """A learner has at most as many items as events, and those are counted without replaying anything."""
+    return is_hot(views.table(spark, sf, "events"), ["user_id"])
+
+
 PICK = """picks AS (
   SELECT learner_id, item_id, q FROM (
     SELECT qs.*, row_number() OVER (PARTITION BY qs.learner_id, qs.item_id
@@ -81,7 +87,7 @@ ranked AS (
 FROM ranked WHERE cls < 2 OR r <= 20"""))
 def review_queue(spark, sf):
     """K9: cards and ideas due now, in the order to review them."""
-    q = review.review_queue(items(spark, sf), now())
+    q = review.review_queue(items(spark, sf), now(), hot=many_items(spark, sf))
     return q.select("learner_id", "item_key", "item_kind", "stage", "question", "position")
 
 
@@ -91,7 +97,7 @@ WHERE cls < 2 OR r <= 20"""))
 def due_cards(spark, sf):
     """The queue of cards only."""
     cards = items(spark, sf).filter("item_kind = 'card'")
-    return review.review_queue(cards, now()).select("learner_id", "item_key", "position")
+    return review.review_queue(cards, now(), hot=many_items(spark, sf)).select("learner_id", "item_key", "position")
 
 
 @R.add("due_card_counts", Q.rec(ITEMS, """SELECT learner_id, CAST(count(*) FILTER (stage <> 'New') + least(20, count(*) FILTER (stage = 'New')) AS BIGINT) AS due_count
