@@ -247,7 +247,7 @@ def column_gutters(spark, sf):
     lo = F.when(F.col("l_partkey") % 2 == 0, 50 + F.col("l_quantity") * 3).otherwise(340 + F.col("l_quantity") * 3)
     wide = F.when(F.col("l_partkey") % 301 == 0, 150).otherwise(0)
     w = views.table(spark, sf, "lineitem").filter("l_quantity % 2 = 1").select(
-        F.lit(1).alias("doc_id"), F.col("l_suppkey").alias("page"), lo.alias("left"), (lo + 20 + F.col("l_linenumber") * 3 + wide).alias("right"), F.lit(10.0).alias("size")
+        (F.col("l_suppkey") % 3).alias("doc_id"), F.col("l_suppkey").alias("page"), lo.alias("left"), (lo + 20 + F.col("l_linenumber") * 3 + wide).alias("right"), F.lit(10.0).alias("size")
     )
     body = w.select("doc_id").distinct().withColumn("body", F.lit(10.0))
     return L.column_gutter(w, body, ["doc_id", "page"]).select("page", F.round("gutter", 4).alias("gutter"))
@@ -275,7 +275,7 @@ SELECT word_id, page, "row", region FROM r UNION ALL SELECT word_id, page, "row"
 def rows_grouped(spark, sf):
     """Words to rows; seventh line items are scripts."""
     w = views.table(spark, sf, "lineitem").select(
-        F.lit(1).alias("doc_id"), F.floor(F.col("l_orderkey") / 20).alias("page"), F.expr("l_orderkey * 100000000000 + l_linenumber * 10000000000 + l_partkey * 100 + CAST(l_quantity AS BIGINT)").alias("word_id"), (40 + F.col("l_quantity") * 10).alias("left"), (60 + F.col("l_quantity") * 10).alias("right"),
+        (F.floor(F.col("l_orderkey") / 20) % 3).alias("doc_id"), F.floor(F.col("l_orderkey") / 20).alias("page"), F.expr("l_orderkey * 100000000000 + l_linenumber * 10000000000 + l_partkey * 100 + CAST(l_quantity AS BIGINT)").alias("word_id"), (40 + F.col("l_quantity") * 10).alias("left"), (60 + F.col("l_quantity") * 10).alias("right"),
         (700 - (F.col("l_partkey") % 60) * 11.0 + F.col("l_suppkey") % 4).alias("baseline"), F.when(F.col("l_linenumber") == 7, 6.0).otherwise(10.0).alias("size"),
     )
     body = w.select("doc_id").distinct().withColumn("body", F.lit(10.0))

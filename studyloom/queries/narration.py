@@ -248,7 +248,7 @@ def drafts_aligned(spark, sf):
 def drafts_accepted(spark, sf):
     """Drafts of chunks that are covered well enough, with skipped equations put back."""
     d, u = _drafts(spark, sf)
-    return A.coverage_guard(A.align_drafts(d, u, ["doc_id", "chunk"]), u, ["doc_id", "chunk"])
+    return A.coverage_guard(cut_lineage(A.align_drafts(d, u, ["doc_id", "chunk"])), u, ["doc_id", "chunk"])
 
 
 @R.add("narration_merged", f"""WITH RECURSIVE {DRAFTS} SELECT doc_id, chunk, unit_ord, say, FALSE AS offline FROM accepted
@@ -257,7 +257,7 @@ def narration_merged(spark, sf):
     """Accepted drafts, offline text for the other chunks."""
     d, u = _drafts(spark, sf)
     key = ["doc_id", "chunk"]
-    m = A.merge_narration(A.coverage_guard(A.align_drafts(d, u, key), u, key), u, key)
+    m = A.merge_narration(cut_lineage(A.coverage_guard(cut_lineage(A.align_drafts(d, u, key)), u, key)), u, key)
     return m.select("doc_id", "chunk", "unit_ord", "say", "offline")
 
 

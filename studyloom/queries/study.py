@@ -329,7 +329,7 @@ UNION ALL SELECT doc_id, 2, 'What?', 0, 'Scores|Gradients', '|', 'E1', concat('A
 def lessons_parsed(spark, sf):
     """A lesson written about every document, read back."""
     d = views.texts(spark, sf, "documents").select(F.col("doc_id").alias("lesson_id"), F.expr(_LESSON).alias("text"))
-    visuals = d.select(F.lit("E1").alias("visual_id")).distinct()
+    visuals = d.select("lesson_id", F.lit("E1").alias("visual_id"))
     head, qs = P.parse_lesson(d, visuals)
     return qs.join(head, "lesson_id").select(
         F.col("lesson_id").alias("doc_id"), "n", "prompt", "correct", F.array_join("options", "|").alias("options"), F.array_join("why", "|").alias("why"), "show", "explanation", "example", "recall", "answer"
