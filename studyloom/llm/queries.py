@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import bpe, secret_scan, sharding, token_counts
+from studyloom.llm import bpe, langid, near_dups, quality, secret_scan, sharding, token_counts
 from studyloom.queries.registry import Registry
 
 R = Registry()
@@ -36,6 +36,23 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf), vocabulary(), with_ids=False)
 
 
+@R.add("op3_quality")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(documents(spark, sf))
+
+
+@R.add("op6_language_id")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    model = langid.trained(docs.filter(langid.fold(F.col("doc_id")) != 0).select("lang", "text"))
+    return langid.identified(docs.select("doc_id", "text"), model).withColumn("held_out", F.coalesce(langid.fold(F.col("doc_id")) == 0, F.lit(False)))
+
+
+@R.add("op7_near_duplicates")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, sf), width=2, threshold=0.8)
+
+
 @R.add("op9_token_counts")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf), vocabulary())
