@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 #: white space of every contract here: U+0020 and U+0009 to U+000D
 SPACE = " \t\n\x0b\x0c\r"
 #: a word, as Java and Python read it
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 8 << 20
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
+#: what str.split takes for white space and the contracts don't
+ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def lower_words(text: str) -> list[str]:
+    """The words of a text, A-Z in lower case."""
+    low = text.lower() if text.isascii() else text.translate(LOWER)
+    return [w for w in SPACES.split(low) if w] if ODD_SPACE.search(low) else low.split()
+
+
+class WordHashes:
+    """64-bit hashes of words; a bounded number of those met is kept."""
+
+    def __init__(self, most: int = 400_000, longest: int = 64) -> None:
+        self.kept: dict[str, int] = {}
+        self.most, self.longest = most, longest
+
+    def __call__(self, words: list[str]) -> list[int]:
+        kept, out = self.kept, []
+        if len(kept) > self.most:
+            kept.clear()
+        for w in words:
+            h = kept.get(w)
+            if h is None:
+                h = xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                if len(w) <= self.longest:
+                    kept[w] = h
+            out.append(h)
+        return out
 
 
 def shared_folder(spark: SparkSession) -> str:

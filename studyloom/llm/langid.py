@@ -315,12 +315,12 @@ def calibrated(model: Model, langs: list[str], bits: np.ndarray, chars: np.ndarr
 REJECT = 6.0
 
 
-def _identify(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _identify(batches: Iterator[pa.RecordBatch], shared, text: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     s = scorer(shared)
     m = s.model
     for batch in batches:
-        for part in slices(batch, "text"):
-            texts = part.column("text").to_pylist()
+        for part in slices(batch, text):
+            texts = part.column(text).to_pylist()
             got = s.texts([t or "" for t in texts])
             chars = got[:, -1]
             some = np.maximum(chars, 1)[:, None]
@@ -334,25 +334,27 @@ def _identify(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             none = chars == 0
             lang = [UNDECIDED if n else m.langs[b] for n, b in zip(none, best, strict=True)]
             yield pa.RecordBatch.from_pydict({
-                "id": part.column("id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(np.where(none, 0.0, score)),
+                **{c: part.column(c) for c in keep}, "lang_pred": pa.array(lang, pa.string()), "score": pa.array(np.where(none, 0.0, score)),
                 "cross_entropy": pa.array(np.where(none, np.nan, ce[np.arange(len(texts)), best]), from_pandas=True), "rejected": pa.array(none | (far > REJECT)),
             })
 
 
-def identified(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score, cross_entropy, rejected) of every row by its whole text alone.
+def identified(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, lang_pred, score, cross_entropy, rejected) of every row by its whole text alone; `keep` names other columns
+    to carry in place of the key.
 
     `und`, score 0 and rejected for a null text, one without a letter, and all if there is no model. score: the posterior
-    of the language named, lowered as the cross-entropy leaves what is usual for it; rejected beyond REJECT spreads, which
+    of the language named, lowered as the cross-entropy leaves what is usual for it; rejected beyond REJECT spreads, where
     the row still names its nearest language. Ties go to the first language in order. Repeated rows are alike; other
     columns are not looked at. Nothing is shuffled.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    d = docs.select(docs[key].alias("id"), docs[text].alias("text"))
+    keep = keep or (key,)
+    read = docs.select(*dict.fromkeys((*keep, text)))
     if model is None:
-        return d.select(F.col("id").alias(key), F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+        return read.select(*keep, F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return d.mapInArrow(lambda b: _identify(b, shared), f"id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean").withColumnRenamed("id", key)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double, cross_entropy double, rejected boolean"
+    return read.mapInArrow(lambda b: _identify(b, shared, text, keep), schema)
 
 
 def fold(key: Column, folds: int = 5) -> Column:

@@ -18,40 +18,26 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import slices, stored
+from studyloom.llm.common import WordHashes, lower_words, slices, stored
 
 BANDS, BAND_ROWS = 32, 4
 HASHES = 256
 BATCH = 32
 MISS = 1e-6
 STAR_ROUNDS = 2
-KEPT_WORDS = 400_000
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = _rng.integers(0, 2**32, HASHES, np.uint32) | np.uint32(1)
 ADDED = _rng.integers(0, 2**32, HASHES, np.uint32)
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text, A-Z in lower case."""
-    low = text.lower() if text.isascii() else text.translate(LOWER)
-    if ODD_SPACE.search(low):  # what str.split takes for white space and the contract doesn't
-        return [w for w in SPACES.split(low) if w]
-    return low.split()
-
-
 def shingles_of(words: list[str], width: int) -> set[tuple[str, ...]]:
     """The distinct shingles; with fewer words the whole sequence as one, without words none."""
     if len(words) < width:
@@ -60,25 +46,14 @@ def shingles_of(words: list[str], width: int) -> set[tuple[str, ...]]:
 
 
 class Hasher:
-    """64-bit hashes of shingles; those of words met are kept."""
+    """The set of 64-bit hashes of a text's shingles."""
 
     def __init__(self, width: int) -> None:
-        self.width, self.kept = width, {}
+        self.width, self.hashes = width, WordHashes()
         self.factors = np.random.default_rng(7).integers(1, 2**63, width + 1, np.int64).astype(np.uint64) | np.uint64(1)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        kept = self.kept
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        out = []
-        for w in words:
-            h = kept.get(w)
-            if h is None:
-                h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-                if len(w) <= 64:
-                    kept[w] = h
-            out.append(h)
-        h = np.array(out, np.uint64)
+        h = np.array(self.hashes(words), np.uint64)
         n, k = len(h), self.width if len(h) >= self.width else len(h)
         with np.errstate(over="ignore"):
             x = np.full(max(0, n - k + 1) if n else 0, np.uint64(k))
@@ -150,7 +125,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
     hasher = Hasher(width)
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
-            sets = [hasher(words_of(t)) if t else np.zeros(0, np.uint64) for t in part.column("text").to_pylist()]
+            sets = [hasher(lower_words(t)) if t else np.zeros(0, np.uint64) for t in part.column("text").to_pylist()]
             some = [s for s in sets if len(s)]
             minima = signatures(some) if some else np.zeros((0, HASHES), np.uint32)
             keys, sig = band_keys(minima), (minima >> np.uint32(24)).astype(np.uint8)
@@ -181,8 +156,8 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -
         for ta, tb in zip(batch.column("text_a"), batch.column("text_b").to_pylist(), strict=True):
             ta = ta.as_py()
             if ta != last:
-                last, of_a = ta, shingles_of(words_of(ta), width)
-            of_b = shingles_of(words_of(tb), width)
+                last, of_a = ta, shingles_of(lower_words(ta), width)
+            of_b = shingles_of(lower_words(tb), width)
             both = len(of_a & of_b)
             ok.append(100 * both >= percent * (len(of_a) + len(of_b) - both) and both > 0)
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))

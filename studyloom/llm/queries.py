@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import bpe, langid, near_dups, quality, secret_scan, sharding, token_counts
+from studyloom.llm import bpe, langid, lm, mixing, near_dups, quality, secret_scan, sharding, token_counts, top_k
 from studyloom.queries.registry import Registry
 
 R = Registry()
@@ -41,6 +41,16 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(documents(spark, sf))
 
 
+@R.add("op4_top_k")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
+@R.add("op5_mixing")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf))
+
+
 @R.add("op6_language_id")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text", "lang")
@@ -53,6 +63,14 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.near_duplicates(documents(spark, sf), width=2, threshold=0.8)
 
 
+@R.add("op8_lm_scores")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    model, words = lm.trained(docs.filter(~held_out))
+    return lm.scored(docs, model, words, held_out)
+
+
 @R.add("op9_token_counts")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf), vocabulary())

@@ -168,35 +168,41 @@ def redacted(text: str, spans: list[Span], mark: str = "[secret]") -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            n, digest, spans, texts = {k: [] for k in KINDS}, [], [], []
+            n, digest, spans = {k: [] for k in KINDS}, [], []
             for text in part.column("text").to_pylist():
-                t = text or ""
-                base = base_spans(t)
-                all_ = base + confirmed_spans(t)
+                base = base_spans(text or "")
+                all_ = base + confirmed_spans(text or "")
                 for k in KINDS:
                     n[k].append(sum(s[0] == k for s in all_))
                 digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
                 spans.append(joined(all_))
-                if keep_text:
-                    texts.append(text if not all_ else redacted(t, all_))
             out = {"id": part.column("id")} | {f"n_{k}": pa.array(v, pa.int64()) for k, v in n.items()}
-            out |= {"base_sha256": pa.array(digest, pa.string()), "spans": pa.array(spans, pa.string())}
-            if keep_text:
-                out["redacted"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out | {"base_sha256": pa.array(digest, pa.string()), "spans": pa.array(spans, pa.string())})
 
 
-def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", with_redacted: bool = False) -> DataFrame:
-    """(key, n_assign, n_access, n_hex, n_jwt, n_pem, n_key64, n_keyhex, base_sha256, spans[, redacted]) of every row.
+def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_assign, n_access, n_hex, n_jwt, n_pem, n_key64, n_keyhex, base_sha256, spans) of every row.
 
-    Spans are `kind:begin:end` in code points, end exclusive, by begin and then kind. A null text counts as empty (its
-    redacted text stays null); an empty text has no span and the digest of "". Repeated rows are scanned each for itself;
-    columns other than the two are not looked at, so none can clash. Nothing is shuffled, texts are scanned whole.
+    Spans are `kind:begin:end` in code points, end exclusive, by begin and then kind. A null text counts as empty; an empty
+    text has no span and the digest of "". Repeated rows are scanned each for itself; columns other than the two are not
+    looked at, so none can clash. Nothing is shuffled, texts are scanned whole.
     """
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string" + (", redacted string" if with_redacted else "")
-    d = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    return d.mapInArrow(lambda b: _scan(b, with_redacted), schema).withColumnRenamed("id", key)
+    schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(_scan, schema).withColumnRenamed("id", key)
+
+
+def _redact(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index(text)
+        for part in slices(batch, text):
+            new = [t and redacted(t, base_spans(t) + confirmed_spans(t)) for t in part.column(text).to_pylist()]
+            yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+
+
+def redacted_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs`, all rows and columns, with each stretch of `text` that spans cover put as one mark; null stays null."""
+    return docs.mapInArrow(lambda b: _redact(b, text), docs.schema)
