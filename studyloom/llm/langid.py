@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.common import slices, stored
 
+DIGIT = re.compile(r"\d")
 LETTERS = re.compile(r"[^\W\d_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KEPT_WORDS = 300_000
@@ -192,6 +193,7 @@ class Scorer:
         out = np.zeros((len(tokens), len(self.model.langs) + 1))
         if runs:
             np.add.at(out, np.array(owner), np.column_stack([bits, n]))
+        out[[DIGIT.search(t) is not None for t in tokens]] *= DIGITS_WEIGH
         return out
 
     def texts(self, texts: list[str]) -> np.ndarray:
@@ -260,7 +262,7 @@ def _costs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     for batch in batches:
         for part in slices(batch, "text"):
             got = s.texts(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "bits": pa.array(list(got[:, :-1]), pa.list_(pa.float64())), "chars": pa.array(got[:, -1].astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "bits": pa.array(list(got[:, :-1]), pa.list_(pa.float64())), "chars": pa.array(got[:, -1])})
 
 
 def trained(train: DataFrame, order: int = 5, bounds: Bounds = Bounds()) -> Model | None:
@@ -279,7 +281,7 @@ def trained(train: DataFrame, order: int = 5, bounds: Bounds = Bounds()) -> Mode
     # apart from what was counted; a language with too few documents calibrates on all of its own
     few = s.groupBy("lang").agg(F.max("place").alias("most"))
     cal = s.join(few, "lang").filter((F.col("place") % 7 == 3) | (F.col("most") < 20)).select("lang", "text")
-    got = cal.mapInArrow(lambda b: _costs(b, shared), "lang string, bits array<double>, chars long").filter("chars > 0").toPandas()
+    got = cal.mapInArrow(lambda b: _costs(b, shared), "lang string, bits array<double>, chars double").filter("chars > 0").toPandas()
     shared.unpersist()
     return calibrated(model, got["lang"].tolist(), np.array(got["bits"].tolist()).reshape(len(got), len(model.langs)), got["chars"].to_numpy())
 
@@ -312,7 +314,9 @@ def calibrated(model: Model, langs: list[str], bits: np.ndarray, chars: np.ndarr
 
 
 #: spreads above the usual cross-entropy at which a document is rejected
-REJECT = 6.0
+REJECT = 10.0
+#: tokens with a digit are hardly language: they decide only where there is nothing else
+DIGITS_WEIGH = 1e-6
 
 
 def _identify(batches: Iterator[pa.RecordBatch], shared, text: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +327,7 @@ def _identify(batches: Iterator[pa.RecordBatch], shared, text: str, keep: tuple[
             texts = part.column(text).to_pylist()
             got = s.texts([t or "" for t in texts])
             chars = got[:, -1]
-            some = np.maximum(chars, 1)[:, None]
+            some = np.where(chars > 0, chars, 1)[:, None]
             ce = got[:, :-1] / some
             best = ce.argmin(axis=1)  # the first of equals in the order of names
             z = -got[:, :-1] * math.log(2) * m.temperature
