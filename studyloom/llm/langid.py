@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,6 +87,7 @@ class Model:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     per_char: np.ndarray | None = None
+    name: str = ""
 
     def bits(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of each run of letters, the bits it costs in each language, and the characters that count."""
@@ -219,15 +221,16 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def scorer(shared) -> Scorer:
-    """One scorer for each broadcast model in a worker."""
-    if id(shared) not in _scorers:
+    """A worker's scorer for a broadcast model; workers outlive models, so they are told apart by name."""
+    model = shared.value
+    if model.name not in _scorers:
         _scorers.clear()
-        _scorers[id(shared)] = Scorer(shared.value)
-    return _scorers[id(shared)]
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
 
 
 def sample(train: DataFrame, bounds: Bounds, n_langs: int) -> DataFrame:
@@ -239,6 +242,8 @@ def sample(train: DataFrame, bounds: Bounds, n_langs: int) -> DataFrame:
     d = train.select("lang", "text", F.xxhash64("text").alias("h"))
     by = Window.partitionBy("lang").orderBy("h")
     first = d.select("lang", "h").distinct().withColumn("place", F.row_number().over(by)).filter(F.col("place") <= bounds.docs + bounds.calibration)
+    if n_langs <= 1000:  # at most a million short rows; else Spark shuffles the texts
+        first = F.broadcast(first)
     d = d.join(first, ["lang", "h"]).groupBy("lang", "h", "place").agg(F.min("text").alias("text"))
     share = min(bounds.chars, bounds.all_chars // max(1, n_langs))
     upto = F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -292,6 +297,7 @@ def calibrated(model: Model, langs: list[str], bits: np.ndarray, chars: np.ndarr
     index = {name: i for i, name in enumerate(model.langs)}
     usable = np.array([x in index for x in langs], bool)
     truth, bits, chars = np.array([index[x] for x in langs if x in index], int), bits[usable], chars[usable]
+    model.name = uuid.uuid4().hex
     model.mean, model.spread, model.per_char = np.zeros(k), np.full(k, 0.25), np.full(k, 4.0)
     if not len(truth):
         model.mean += math.log2(64)
