@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by a priority queue of merge ranks over a doubly linked symbol list, and decoding.
 
-The vocabulary file is a parameter and is read by each Python worker once. A text is cut at safe boundaries: before a
-single space that a non-space follows, the pre-tokeniser always begins a new piece. The segments between such cuts repeat
+The vocabulary file is a parameter and is read by each Python worker once. A text is cut at safe boundaries, where
+the pre-tokeniser always begins a new piece: around the last white space before a word. The segments between such cuts repeat
 across texts, so a worker keeps the ids of those it has met, in a table of bounded size, and runs the merge queue on the
 others only.
 """
@@ -12,6 +12,8 @@ import hashlib
 import heapq
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,10 +23,13 @@ from pyspark.sql import DataFrame
 
 from studyloom.llm.common import slices
 
-UNSAFE = re.compile(r" (?:\s|\Z)")
-CUT = re.compile(r"(?= \S)")
+UNSAFE = re.compile(r"[ \n](?:\s|\Z)")
+CUT = re.compile(r"(?=[ \n]\S)|(?<=\n)(?=\S)")
+#: one piece of Latin letters and a mark, whose bounds need no pre-tokeniser
+SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: segments that a worker keeps
-KEPT_SEGMENTS = 400_000
+KEPT_SEGMENTS = 1_200_000
 KEPT_LENGTH = 64
 
 
@@ -38,12 +43,27 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
 
-def segments(text: str) -> list[str]:
-    """`text` cut before every single space that a non-space follows; the pieces put together are the text."""
+def segments(text: str, special: re.Pattern | None = None) -> list[str]:
+    """`text` cut where the pre-tokeniser always begins a new piece: before a space or line end that a non-space follows,
+    and after such a line end; and around `special` strings (a pattern with one group), at which texts begin and end anew.
+    The segments put together are the text."""
+    if special and special.search(text):
+        return [s for k, part in enumerate(special.split(text)) for s in ([part] if k % 2 else segments(part))]
     if UNSAFE.search(text):
         return [s for s in CUT.split(text) if s]
-    first, *rest = text.split(" ")
-    return [*([first] if first else []), *[" " + s for s in rest]]
+    out: list[str] = []
+    for k, line in enumerate(text.split("\n")):
+        if k:
+            out.append("\n")
+        first, *rest = line.split(" ")
+        if first:
+            out.append(first)
+        out += [" " + s for s in rest]
+    return out
+
+
+def special_pattern(contents: list[str]) -> re.Pattern | None:
+    return re.compile("(" + "|".join(map(re.escape, sorted(contents, key=len, reverse=True))) + ")") if contents else None
 
 
 class Bpe:
@@ -56,7 +76,7 @@ class Bpe:
         vocab, chars = spec["model"]["vocab"], byte_chars()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
-        self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.cut_special = special_pattern(list(special))
         # the library's own reading of letters and digits decides where pieces end
         self.pre_tokenize = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.width = 1 + max([*vocab.values(), *special.values()])
@@ -67,6 +87,7 @@ class Bpe:
         for s, i in special.items():
             self.strings[i] = s.encode()
         self.letter = {c: vocab[c] for c in chars}
+        self.of_byte = [vocab[c] for c, _ in sorted(chars.items(), key=lambda x: x[1])]
         #: left * width + right -> (rank, merged id)
         self.merges: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -81,10 +102,8 @@ class Bpe:
         that stand there now still have that rank; all others are stale and skipped.
         """
         merges, width, n = self.merges, self.width, len(symbols)
-        heap = []
-        for i in range(n - 1):
-            if m := merges.get(symbols[i] * width + symbols[i + 1]):
-                heap.append(m[0] * n + i)
+        found = [merges.get(a * width + b) for a, b in zip(symbols, symbols[1:])]
+        heap = [m[0] * n + i for i, m in enumerate(found) if m]
         if not heap:
             return symbols
         heapq.heapify(heap)
@@ -109,21 +128,21 @@ class Bpe:
                 heapq.heappush(heap, m[0] * n + h)
         return [s for s in symbols if s >= 0]
 
-    def plain(self, text: str) -> list[int]:
-        letter, out = self.letter, []
-        for chars, _ in self.pre_tokenize(text):
-            out += self.piece([letter[c] for c in chars])
-        return out
+    def pieces(self, text: str) -> list[list[int]]:
+        """The pre-tokens of a segment, as ids of their bytes."""
+        of = self.of_byte
+        if m := SIMPLE.fullmatch(text):
+            return [[of[b] for b in part.encode()] for part in m.groups() if part]
+        letter = self.letter
+        return [[letter[c] for c in chars] for chars, _ in self.pre_tokenize(text)]
 
     def segment(self, text: str) -> bytes:
-        """The ids of one segment, four bytes each; those of special strings where they stand."""
-        ids: list[int] = []
-        if self.cut_special and any(s in text for s in self.special):
-            for part in self.cut_special.split(text):
-                ids += [self.special[part]] if part in self.special else self.plain(part) if part else []
+        """The ids of one segment, four bytes each."""
+        if text in self.special:
+            ids = [self.special[text]]
         else:
-            ids = self.plain(text)
-        data = np.array(ids, "<u4").tobytes()
+            ids = [i for p in self.pieces(text) for i in (self.piece(p) if len(p) > 1 else p)]
+        data = array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
         if len(text) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT_SEGMENTS:
                 self.kept.clear()
@@ -133,7 +152,7 @@ class Bpe:
     def encode(self, text: str) -> bytes:
         """The ids of `text` as little-endian unsigned 32-bit integers."""
         get, make = self.kept.get, self.segment
-        return b"".join([get(s) or make(s) for s in segments(text)])
+        return b"".join([get(s) or make(s) for s in segments(text, self.cut_special)])
 
     def decode(self, ids: bytes) -> str:
         """The vocabulary strings of the ids, put together and read as UTF-8; broken bytes become U+FFFD."""

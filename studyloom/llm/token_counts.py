@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from studyloom.llm.bpe import segments
+from studyloom.llm.bpe import segments, special_pattern
 from studyloom.llm.common import slices
 
 KEPT_SEGMENTS = 600_000
@@ -58,7 +58,8 @@ class Counter:
             byte_level = '"ByteLevel"' in (library.pre_tokenizer.__getstate__().decode() if library.pre_tokenizer else "")
             encode = getattr(library, "encode_batch_fast", library.encode_batch)
             self.lengths = lambda ts: [len(x) for x in encode(ts, add_special_tokens=False)]
-            self.cut = segments if byte_level else lambda t: [t]
+            special = special_pattern([t.content for t in library.get_added_tokens_decoder().values()])
+            self.cut = (lambda t: segments(t, special)) if byte_level else (lambda t: [t])
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text."""
