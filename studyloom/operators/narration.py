@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions import text as T
-from studyloom.plans.ordered import Running, by_index, is_hot, scan
+from studyloom.plans.ordered import Running, by_index, scan
+from studyloom.session import cut_lineage
 
 PAPER, IDX = "paper_id", "idx"
 KEEP_EXPLAINING = 3  # fixed value: sentences that keep a visual up
@@ -81,13 +82,12 @@ def _carry(d: DataFrame, shown: Column, anchors: Column, resets: Column, eligibl
 
     The rank of an eligible row after its anchor is a difference of two running counts, so no island is materialised.
     """
-    hot = is_hot(d, [PAPER])
     d = d.withColumns({"_el": eligible.cast("long"), "_an": anchors, "_re": resets, "_val": value})
-    d = scan(d, [PAPER], [IDX], by_index(IDX), [Running("_count", "sum", F.col("_el"))], hot)
+    d = scan(d, [PAPER], [IDX], by_index(IDX), [Running("_count", "sum", F.col("_el"))])
     event = F.when(F.col("_an"), F.struct(F.col("_val").alias("v"), F.col("section").alias("s"), F.col("_count").alias("c"))).when(
         F.col("_re"), F.struct(F.lit(None).cast("string").alias("v"), F.lit(None).cast("long").alias("s"), F.lit(0).cast("long").alias("c"))
     )
-    d = scan(d, [PAPER], [IDX], by_index(IDX), [Running("_last", "last_before", event)], hot)
+    d = scan(cut_lineage(d), [PAPER], [IDX], by_index(IDX), [Running("_last", "last_before", event)])
     ok = (F.col("_el") == 1) & (F.col("_last.s") == F.col("section")) & (F.col("_count") - F.col("_last.c") <= keep)
     return d.withColumn("_kept", F.when(ok, F.col("_last.v"))).drop("_el", "_an", "_re", "_val", "_count", "_last")
 
@@ -159,10 +159,9 @@ def visual_order(segments: DataFrame, inline: Column) -> DataFrame:
 
 def visual_stops(segments: DataFrame, inline: Column) -> DataFrame:
     """The segment after which playing stops for a visual: the last one of its first run that is about it."""
-    hot = is_hot(segments, [PAPER])
-    d = scan(segments, [PAPER], [IDX], by_index(IDX), [Running("_prev", "lag", F.col("show"))], hot)
+    d = scan(segments, [PAPER], [IDX], by_index(IDX), [Running("_prev", "lag", F.col("show"))])
     starts = ~F.col("show").eqNullSafe(F.col("_prev"))
-    d = scan(d, [PAPER], [IDX], by_index(IDX), [Running("_run", "sum", starts.cast("long"))], hot)
+    d = scan(cut_lineage(d.withColumn("_starts", starts)), [PAPER], [IDX], by_index(IDX), [Running("_run", "sum", F.col("_starts").cast("long"))])
     about = F.when(F.col("reason") != "recent", F.col(IDX))
     runs = (
         d.filter(F.col("show").isNotNull() & ~inline)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studyloom.functions import text as T
-from studyloom.plans.ordered import Running, is_hot, scan
+from studyloom.plans.ordered import Running, scan
+from studyloom.session import cut_lineage
 
 DOC, PAGE = "doc_id", "page"
 NOISE = ("header", "footer", "references", "aside_text")  # fixed values
@@ -47,12 +48,11 @@ def join_page_turns(blocks: DataFrame) -> DataFrame:
         (F.col("_up.kind") == "text") & ~F.rtrim("_up.content").rlike(r"[.!?:;]$") & (F.col("_first.kind") == "text") & F.ltrim("_first.content").rlike(r"^\p{Ll}")
     )
     j = j.withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    hot = is_hot(j, [DOC])
     bucket = F.floor(F.col(PAGE) / 256).cast("long")
-    j = scan(j, [DOC], [PAGE], bucket, [Running("_p", "lag", F.struct(PAGE, "_fits"))], hot)
+    j = scan(j, [DOC], [PAGE], bucket, [Running("_p", "lag", F.struct(PAGE, "_fits"))])
     linked = F.col("_fits") & F.col("_up_single") & (F.col(f"_p.{PAGE}") == F.col(PAGE) - 1) & F.col("_p._fits")
     starts = F.when(~F.coalesce(linked, F.lit(False)), F.col(PAGE))
-    j = scan(j, [DOC], [PAGE], bucket, [Running("_start", "last", starts)], hot)
+    j = scan(cut_lineage(j), [DOC], [PAGE], bucket, [Running("_start", "last", starts)])
     moved = j.filter(F.col("_fits") & ((F.col(PAGE) - F.col("_start")) % 2 == 0)).select(
         DOC, PAGE, F.col("_first.ord").alias("ord"), (F.col(PAGE) - 1).alias("_to_page"), F.col("_up.ord").alias("_to_ord")
     )
@@ -159,12 +159,11 @@ def figure_groups(blocks: DataFrame) -> DataFrame:
     b = blocks.withColumn("_id", cap).withColumn("_mid", (F.col("y0") + F.col("y1")) / 2)
     # where a block would be found: images by their middle, captions by their top
     b = b.withColumn("_at", F.when(F.col("_id").isNotNull(), F.col("y0") + F.col("slack")).otherwise(F.col("_mid")))
-    hot = is_hot(blocks, key)
     nxt = F.when(F.col("_id").isNotNull(), F.struct("_id", "ord", "y0", "slack"))
     b = b.withColumn("_named", F.col("_id").isNotNull().cast("int"))
     b = scan(b, key, ["_at", "_named", "ord"], F.floor("_at").cast("long"), [
         Running("_cap", "next_after", nxt), Running("_above", "max_before", F.when(F.col("_id").isNotNull(), F.col("y1"))),
-    ], hot)
+    ], bounded=True)
     images = b.filter("kind = 'image'").filter(F.col("_cap._id").startswith("Fig") & (F.col("_mid") >= F.coalesce("_above", F.lit(0.0))))
     images = images.select(*key, F.col("_cap._id").alias("visual_id"), F.col("_cap.ord").alias("caption_ord"), "ord", "y0", F.col("_cap.y0").alias("_cy"), "slack")
     tops = images.groupBy(*key, "visual_id", "caption_ord", "_cy", "slack").agg(F.min("y0").alias("_top"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studyloom.functions import fsrs
-from studyloom.plans.ordered import Running, is_hot, scan
+from studyloom.plans.ordered import Running, scan
 from studyloom.session import cut_lineage
 
 NEW_PER_SESSION = 20  # fixed value: new cards taken into one review
@@ -102,13 +102,13 @@ def create_ideas(checks: DataFrame, known: DataFrame, keys: list[str]) -> DataFr
     return first.withColumn("memory", memory)
 
 
-def review_queue(items: DataFrame, now: Column, learner: str = "learner_id", tz: str = "UTC", hot: bool | None = None) -> DataFrame:
+def review_queue(items: DataFrame, now: Column, learner: str = "learner_id", tz: str = "UTC") -> DataFrame:
     """What to review now, in order, per learner.
 
     items(learner, item_key, item_kind, stage, due, stability, last_review, created_utc, segment); ideas without a
     question are to be left out before. Steps by due, then reviews by recall, then at most 20 new items by
-    (created, segment). One window when no learner is hot; otherwise the new items are cut to 20 by a row_number limit
-    (pruned before the shuffle) and positions come from a bucketed scan. `hot` says so when the caller knows.
+    (created, segment): those are cut to 20 by a row_number limit (pruned before the shuffle), and positions come from a
+    bucketed scan. The items are stored first, as they are read four times.
     """
     items = items.filter("item_kind = 'card' OR stage <> 'New'")
     due = items.filter(fsrs.is_due_for_review(F.col("stage"), F.col("due"), now, tz))
@@ -125,14 +125,6 @@ def review_queue(items: DataFrame, now: Column, learner: str = "learner_id", tz:
     d = d.withColumn("_seg", F.when(cls == 2, F.col("segment")).otherwise(F.lit(0)))
     order = ["_class", "_key", "_seg", "item_kind", "item_key"]
     extra = ["_class", "_key", "_seg"]
-    if hot is None:
-        hot = is_hot(items, [learner])
-    if not hot:
-        # new items sort last, so leaving the later ones out does not move anything before them
-        w = Window.partitionBy(learner)
-        old = F.count_if(F.col("_class") < 2).over(w)
-        d = d.withColumn("position", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("_old", old)
-        return d.filter((F.col("_class") < 2) | (F.col("position") - F.col("_old") <= NEW_PER_SESSION)).drop(*extra, "_old")
     d = cut_lineage(d)
     w = Window.partitionBy(learner).orderBy(*order[1:])
     new = d.filter(F.col("_class") == 2).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= NEW_PER_SESSION)
@@ -140,7 +132,7 @@ def review_queue(items: DataFrame, now: Column, learner: str = "learner_id", tz:
     # class, then the leading part of its sort key: due day, recall in thousandths, creation day
     part = F.when(F.col("_class") == 1, F.floor(F.col("_key") * 1000)).otherwise(F.floor(F.col("_key") / fsrs.DAY))
     bucket = F.col("_class").cast("long") * F.lit(1_000_000_000) + part.cast("long")
-    d = scan(d, [learner], order, bucket, [Running("position", "sum", F.lit(1).cast("long"))], hot=True)
+    d = scan(d, [learner], order, bucket, [Running("position", "sum", F.lit(1).cast("long"))])
     return d.drop(*extra)
 
 

@@ -1,13 +1,15 @@
-"""Running values over an ordered sequence whose key may be hot.
+"""Running values over an ordered sequence whose key may hold any share of the rows.
 
 `Window.partitionBy(key)` puts a whole key into one task: a paper or learner holding a third of all rows would stall
-the job. `is_hot` measures the largest key with one pre-aggregated count over the key columns. Below the limit
-(`spark.studyloom.maxKeyRows`) plain windows are used: one exchange serves every running column of a sequence.
-
-Above it the sequence of a key is cut into buckets by an order-preserving expression (`idx div 1024`, a day). Rows are
+the job. So the sequence of a key is cut into buckets by an order-preserving expression (`idx div 1024`, a day). Rows are
 shuffled by (key, bucket); each bucket is reduced to one carry row by a map-side combined aggregate; only the carry
 rows, a thousandth of the input, are scanned per key; and the carry is joined back by (key, bucket), where the
-row-level windows run without another exchange. The input is read twice for that, so it is checkpointed first.
+row-level windows run without another exchange. There is this one plan for every size of input, and making it runs no job.
+Nulls are values like others: a null key is one key, null order values come first, and they share a bucket.
+
+Keys that are small by their nature (the lines of one printed page) are declared `bounded`, and get plain windows.
+
+The input of a scan is read twice; operators that scan what they scanned cut the lineage between the two.
 
 The bucket expression must be monotone in the order columns: a row of a later bucket sorts after every row of an
 earlier one. The order columns must be unique within a key.
@@ -17,14 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studyloom.session import cut_lineage
-
 BUCKET = "_bucket"
-MAX_KEY_ROWS = 4_000_000
 DAY_MICROS = 86_400_000_000
 
 
@@ -51,23 +52,9 @@ class Running:
     value: Column
 
 
-def is_hot(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Does one key hold more rows than a task should get?"""
-    limit = int(df.sparkSession.conf.get("spark.studyloom.maxKeyRows", str(MAX_KEY_ROWS)))
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return largest > limit
-
-
-def scan(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, specs: Sequence[Running], hot: bool | None = None
-) -> DataFrame:
-    """`df` with one column per spec. See the module docstring for the plan.
-
-    Operators that scan one sequence several times measure it once and pass `hot`.
-    """
-    if hot is None:
-        hot = is_hot(df, keys)
-    return _scan_buckets(df, keys, order, bucket, specs) if hot else _scan_whole(df, keys, order, specs)
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, specs: Sequence[Running], bounded: bool = False) -> DataFrame:
+    """`df` with one column per spec. See the module docstring for the plan."""
+    return _scan_whole(df, keys, order, specs) if bounded else _scan_buckets(df, keys, order, bucket, specs)
 
 
 def _scan_whole(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[Running]) -> DataFrame:
@@ -100,7 +87,7 @@ def _scan_buckets(
 ) -> DataFrame:
     keys, order = list(keys), list(order)
     vals = {f"_v_{s.name}": s.value for s in specs}
-    d = cut_lineage(df.withColumn(BUCKET, bucket).withColumns(vals))
+    d = df.withColumn(BUCKET, bucket).withColumns(vals)
     pos = [F.col(c) for c in order]
     aggs = []
     for s in specs:
@@ -142,12 +129,12 @@ def _scan_buckets(
         else:
             e = F.lag(t).over(ahead)["v"]
         carries.append(e.alias(c))
-    carry = totals.select(*keys, BUCKET, *carries)
-
     part = [*keys, BUCKET]
+    carry = totals.select(*[F.col(k).alias(f"_k_{k}") for k in part], *carries)
     row = Window.partitionBy(*part).orderBy(*pos)
     rev = Window.partitionBy(*part).orderBy(*[p.desc() for p in pos])
-    j = d.join(carry, part)
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in part]
+    j = d.join(carry, reduce(and_, same)).drop(*[f"_k_{k}" for k in part])
     out = {}
     for s in specs:
         v, c = F.col(f"_v_{s.name}"), F.col(f"_c_{s.name}")
@@ -172,9 +159,7 @@ def _scan_buckets(
     return j.withColumns(out).drop(*vals, *[f"_c_{s.name}" for s in specs], BUCKET)
 
 
-def number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str, start: int = 0, hot: bool | None = None
-) -> DataFrame:
+def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str, start: int = 0, bounded: bool = False) -> DataFrame:
     """Dense position within the key (`start`, `start`+1, …)."""
-    d = scan(df, keys, order, bucket, [Running(name, "sum_before", F.lit(1).cast("long"))], hot)
+    d = scan(df, keys, order, bucket, [Running(name, "sum_before", F.lit(1).cast("long"))], bounded)
     return d.withColumn(name, (F.col(name) + F.lit(start)).cast("long"))

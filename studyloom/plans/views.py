@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.plans.ordered import Running, by_day, by_index, is_hot, number, scan
+from studyloom.plans.ordered import Running, by_day, scan
 from studyloom.plans.parallel import spread
 
 
@@ -89,13 +89,10 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf).select(
         F.col("user_id").alias("paper_id"), "ts", "event_id", "event_type", "k", "value",
     )
-    hot = is_hot(e, ["paper_id"])
-    d = number(e, ["paper_id"], ["ts", "event_id"], by_day("ts"), "idx", hot=hot)
-    d = d.withColumn("kind", F.when(F.col("event_type") == "signup", "heading").otherwise("sentence"))
-    d = scan(
-        d, ["paper_id"], ["idx"], by_index("idx"),
-        [Running("section", "sum", (F.col("kind") == "heading").cast("long"))], hot,
-    )
+    d = e.withColumn("kind", F.when(F.col("event_type") == "signup", "heading").otherwise("sentence"))
+    d = scan(d, ["paper_id"], ["ts", "event_id"], by_day("ts"), [
+        Running("idx", "sum_before", F.lit(1).cast("long")), Running("section", "sum", (F.col("kind") == "heading").cast("long")),
+    ])
     v = F.concat(F.lit("E"), (F.col("k") % 5).cast("string"))
     return d.select(
         "paper_id",
