@@ -100,13 +100,13 @@ def answer_visuals(spark, sf):
     return got.select("conv_id", F.split("answer_id", "/")[1].cast("long").alias("turn"), "visual_id", F.col("rank").cast("int").alias("rank"))
 
 
-@R.add("paper_texts", """WITH p AS (SELECT doc_id % 20 AS paper, doc_id // 20 AS page, concat(chr(10), chr(10), '<!-- page ', doc_id // 20 + 1, ' -->', chr(10), chr(10), replace(text, '![x](y.png)', '')) AS t FROM documents),
+@R.add("paper_texts", """WITH p AS (SELECT doc_id // 20 AS paper, doc_id % 20 AS page, concat(chr(10), chr(10), '<!-- page ', doc_id % 20 + 1, ' -->', chr(10), chr(10), replace(text, '![x](y.png)', '')) AS t FROM documents),
 j AS (SELECT paper, regexp_replace(string_agg(t, '' ORDER BY page), '^\\s+|\\s+$', '', 'g') AS t FROM p GROUP BY paper)
-SELECT paper, md5(left(t, 600000)) AS text, length(left(t, 600000)) AS chars FROM j""")
+SELECT paper, md5(t) AS text, length(t) AS chars FROM j""")
 def paper_texts(spark, sf):
-    """Twenty papers whose pages are the documents, as one text each."""
+    """Papers of twenty documents as their pages, as one text each."""
     d = views.texts(spark, sf, "documents").select(
-        (F.col("doc_id") % 20).alias("paper"), F.floor(F.col("doc_id") / 20).cast("long").alias("page"), F.concat(F.lit("![a](b.png)"), "text").alias("markdown")
+        F.floor(F.col("doc_id") / 20).cast("long").alias("paper"), (F.col("doc_id") % 20).alias("page"), F.concat(F.lit("![a](b.png)"), "text").alias("markdown")
     )
     return H.paper_text(d, "paper").select("paper", F.md5("text").alias("text"), F.length("text").cast("long").alias("chars"))
 

@@ -35,15 +35,15 @@ def review_stream(spark, sf):
 @R.add("stream_reviews", Q.rec(Q.MEMORY, "SELECT learner_id, item_id, stage, due AS due_us, round(s, 6) AS stability, round(d, 6) AS difficulty, reps, lapses FROM memory"))
 def stream_reviews(spark, sf):
     """Memories after the stream of answers; equal to the batch replay."""
-    m = X.latest(X.run_to_table(X.stream_reviews(review_stream(spark, sf)), "reviews", "update"), ["learner_id", "item_id"])
+    m = X.with_late_replayed(X.run_to_table(X.stream_reviews(review_stream(spark, sf)), "reviews", "update"), views.reviews(spark, sf))
     return m.select("learner_id", "item_id", "stage", F.col("due").alias("due_us"), F.round("stability", 6).alias("stability"), F.round("difficulty", 6).alias("difficulty"), "reps", "lapses")
 
 
 @R.add("stream_import", "SELECT DISTINCT left(sha256(text), 16) AS paper_id FROM documents")
 def stream_import(spark, sf):
     """Each distinct document once."""
-    d = stream_of(spark, sf, "documents").select(S.content_id(F.encode("text", "UTF-8")).alias("paper_id"))
-    return X.run_to_table(X.stream_import(d), "import").select("paper_id")
+    d = stream_of(spark, sf, "documents").select(S.content_id(F.encode("text", "UTF-8")).alias("paper_id"), F.current_timestamp().alias("arrived"))
+    return X.run_to_table(X.stream_import(d, "arrived", "1 day"), "import").select("paper_id")
 
 
 @R.add("stream_replies", """SELECT conv_id AS reply_id, count(*) AS pieces, md5(regexp_replace(string_agg(text, '' ORDER BY turn), '^\\s+|\\s+$', '', 'g')) AS answer FROM conversations GROUP BY conv_id""")
@@ -58,10 +58,15 @@ def stream_replies(spark, sf):
 def stream_due(spark, sf):
     """Queues of the learners touched by the stream of answers (all of them)."""
     folder = X.shared_folder(spark, "due")
-    sink = lambda q, batch: q.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    def sink(queue, touched, batch):
+        queue.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+        touched.write.mode("overwrite").parquet(f"{folder}/touched/batch={batch}")
+
     w = X.stream_due(review_stream(spark, sf), lambda: review_queries.items(spark, sf), now, sink)
     w.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    q = X.latest(spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*"), ["learner_id", "item_key"])
+    read = lambda part: spark.read.option("basePath", f"{folder}/{part}").parquet(f"{folder}/{part}/batch=*")
+    q = X.last_batch(read("out"), read("touched"), "learner_id")
     return q.select("learner_id", "item_key", "item_kind", "stage", "question", "position")
 
 

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the incremental operators.
 
 Late or out-of-order reviews: the batch replay (F4) sorts by (ts, seq) and is the truth. The stream applies each
-micro-batch in that order and keeps going; an answer older than the state it meets is left to the next batch replay.
+micro-batch in that order and keeps going; an answer older than the state it meets is counted in its output row, and
+`with_late_replayed` replays the items that met one from the log.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from studyloom.functions import replies as Y
+from studyloom.operators.memory import replay
 from studyloom.streaming import steps
 
 MEMORY_STATE = "stage string, due long, stability double, difficulty double, reps int, lapses int, last_review long"
-MEMORY_OUT = f"learner_id long, item_id int, {MEMORY_STATE}"
+MEMORY_OUT = f"learner_id long, item_id int, {MEMORY_STATE}, late long"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -52,30 +54,52 @@ def latest(table: DataFrame, keys: list[str]) -> DataFrame:
 def _apply_reviews(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     learner, item = key
     log = pd.concat(list(chunks)).sort_values(["ts_us", "seq"])  # one item's answers in one micro-batch
-    memory = tuple(state.get) if state.exists else None
+    memory, late = tuple(state.get) if state.exists else None, 0
     for ts, rating in zip(log["ts_us"].tolist(), log["rating"].tolist()):
         if memory is None:
             memory = ("New", int(ts), 0.0, 0.0, 0, 0, None)
         if memory[6] is None or ts >= memory[6]:
             memory = steps.review(memory, int(ts), int(rating), f"{learner}-{item}")
+        else:
+            late += 1
     state.update(memory)
-    yield pd.DataFrame([[learner, item, *memory]], columns=["learner_id", "item_id", "stage", "due", "stability", "difficulty", "reps", "lapses", "last_review"])
+    yield pd.DataFrame([[learner, item, *memory, late]], columns=["learner_id", "item_id", "stage", "due", "stability", "difficulty", "reps", "lapses", "last_review", "late"])
 
 
 def stream_reviews(reviews: DataFrame) -> DataFrame:
     """A stream of reviews(learner_id, item_id, ts, seq, rating) to each item's new memory (update mode).
 
-    Only one memory per item is kept; the state store spreads items over partitions.
+    Only one memory per item is kept; the state store spreads items over partitions. `late`: answers of the micro-batch
+    that were older than the memory they met and so not applied.
     """
     r = reviews.select("learner_id", "item_id", F.unix_micros("ts").alias("ts_us"), "seq", "rating")
     return r.groupBy("learner_id", "item_id").applyInPandasWithState(_apply_reviews, MEMORY_OUT, MEMORY_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_import(files: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """Documents imported once by content id (append mode). With a watermark (column, delay) old ids leave the state."""
-    if watermark:
-        return files.withWatermark(*watermark).dropDuplicatesWithinWatermark(["paper_id"])
-    return files.dropDuplicates(["paper_id"])
+def with_late_replayed(table: DataFrame, log: DataFrame) -> DataFrame:
+    """The memories that `stream_reviews` stored, those of items that met a late answer replayed from the whole log.
+
+    Only the log of such items is read into the replay.
+    """
+    keys = ["learner_id", "item_id"]
+    now = latest(table, keys).drop("late")
+    met = table.groupBy(*keys).agg(F.sum("late").alias("late")).filter("late > 0").drop("late")
+    again = replay(log.join(met, keys, "left_semi"), keys).select(*keys, "memory.*")
+    return now.join(met, keys, "left_anti").unionByName(again.select(*now.columns))
+
+
+def last_batch(table: DataFrame, touched: DataFrame, key: str) -> DataFrame:
+    """The rows of each key's last batch: `touched` (key, batch) names all keys of each, those left without rows too."""
+    last = touched.groupBy(key).agg(F.max("batch").alias("batch"))
+    return table.join(last, [key, "batch"]).drop("batch")
+
+
+def stream_import(files: DataFrame, arrived: str, delay: str) -> DataFrame:
+    """Documents imported once by content id (append mode).
+
+    Ids leave the state `delay` after their time in `arrived`; what comes again later is the library's to know (S4).
+    """
+    return files.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(["paper_id"])
 
 
 def _join_pieces(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -95,7 +119,7 @@ def _join_pieces(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState)
 def stream_replies(pieces: DataFrame) -> DataFrame:
     """A stream of pieces(reply_id long, seq from 0, text) to each reply so far, read again at every update.
 
-    Pieces that come early wait in the state. A reply is a few kilobytes.
+    Pieces that come early wait in the state. A reply is a few kilobytes; its state stays, since no piece says it is the last.
     """
     so_far = pieces.groupBy("reply_id").applyInPandasWithState(
         _join_pieces, "reply_id long, text string, pieces long", "text string, upto long, waiting string", "update", GroupStateTimeout.NoTimeout
@@ -106,16 +130,17 @@ def stream_replies(pieces: DataFrame) -> DataFrame:
     )
 
 
-def stream_due(changes: DataFrame, items: Callable[[], DataFrame], now: Callable[[], Column], sink: Callable[[DataFrame, int], None]):
+def stream_due(changes: DataFrame, items: Callable[[], DataFrame], now: Callable[[], Column], sink: Callable[[DataFrame, DataFrame, int], None]):
     """A writer that recomputes the review queue of the learners a micro-batch touches, at the batch's time.
 
-    changes(learner_id, …) is the stream; `items` reads the current cards and ideas; `sink` stores (queue, batch id).
+    changes(learner_id, …) is the stream; `items` reads the current cards and ideas; `sink` stores (queue, touched
+    learners, batch id). A learner's queue is that of the last batch that touched them (`last_batch`).
     """
     from studyloom.operators.review import review_queue
 
     def recompute(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("learner_id").distinct()
-        sink(review_queue(items().join(touched, "learner_id", "left_semi"), now()), batch_id)
+        sink(review_queue(items().join(touched, "learner_id", "left_semi"), now()), touched, batch_id)
 
     return changes.writeStream.foreachBatch(recompute)
 
