@@ -39,11 +39,16 @@ def sql_tidy(c: str) -> str:
     return f"trim({t})"
 
 
+# of the characters whose plain form is longer, those that the derived texts hold
+_MANY = "ﬁﬂ…"
+
+
 def sql_fold(c: str) -> str:
-    src, dst = T.fold_tables()
+    src, dst = (x.replace("'", "''") for x in T.fold_tables())
     t = f"translate({c}, '{src}', '{dst}')"
-    for a, b in T._ONE_TO_MANY:
-        t = f"replace({t}, '{a}', '{b}')"
+    for a, b in T.fold_many().items():
+        if a in _MANY:
+            t = f"replace({t}, '{a}', '{b}')"
     return t
 
 

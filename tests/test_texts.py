@@ -1,5 +1,8 @@
 """Text, Markdown, web and reply rules on small inputs."""
 
+import unicodedata
+
+import pytest
 from pyspark.sql import functions as F
 
 from studyloom.functions import markdown as M
@@ -30,6 +33,22 @@ def test_sentences(spark):
     assert [len(p.split()) for p in parts] == [80, 75, 1] and " ".join(parts) == long
 
 
+def test_fold_is_compatibility_folding(spark):
+    text = "Ａｂ ½ ① Ⅳ ㎏ ™ ﬃ ℝ⁺ ｶﾞ"
+    assert one(spark, text, T.fold) == "".join(unicodedata.normalize("NFKC", c) for c in text)
+
+
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [
+        ("2 * 3 * 4 and 2*3", "2 * 3 * 4 and 2*3"), ("a **b** c*", "a b c*"), ("snake_case and _it_ __bold__", "snake_case and it bold"), ("`a*b*` \\*c\\*", "a*b* *c*"),
+        ("[l **b**](u(v)w) [x][1] [y] f[0]", "l b x [y] f[0]"), ("![p](q.png)t [^1]", "t"), ("$a*b*_c$ \\(x_1\\) *e*", "$a*b*_c$ $x_1$ e"), ("x<sup>2</sup> <i>i</i> <https://a.b/c>", "x^{2} i https://a.b/c"), ("~~old~~ &lt;b&gt; < 3", "old <b> < 3"), ("", ""),
+    ],
+)
+def test_inline_text(spark, text, plain):
+    assert one(spark, text, M.inline_text) == plain
+
+
 def test_fold(spark):
     assert one(spark, "𝑥ᵢ + 𝜃 ﬁnd ﬂow 𝐖₁𝐱 + 𝒃²", T.fold) == "xi + θ find flow W1x + b2"
 
