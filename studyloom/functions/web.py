@@ -1,12 +1,14 @@
 """Web pages as column expressions.
 
-A page is read by tag patterns instead of a tree: elements of one name are taken to their first end tag, so nested
-elements of the same name end early. That is the deliberate difference from a tree walker; everything stays one
-projection over the page's own row.
+A page is read as a stream of tags and texts. Elements that are left out or kept whole end where the depth of their own
+name returns to zero, so elements nested in others of the same name are no trouble; everything stays one projection over
+the page's own row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +47,63 @@ ENTITIES = (
 )
 
 
-def _element(names: str, attrs: str = "[^>]*") -> str:
-    return rf"(?is)<({names})\b{attrs}>.*?</\1\s*>"
+VOID = ("input", "track", "source", "br", "hr", "img", "meta", "link", "area", "base", "col", "embed", "wbr")
+RANGES = "array<struct<a:int,b:int>>"
+
+
+def tag_stream(html: Column) -> Column:
+    """Tags and the texts between them, in order; put together they are the page."""
+    return F.regexp_extract_all(html, F.lit(r"<[^>]*>|[^<]+|<"), F.lit(0))
+
+
+def element_ranges(ts: Column, starts: Callable[[Column], Column], to_end: bool = False) -> Column:
+    """array<struct<a, b>>: first and last place of each outermost element whose start tag `starts` accepts.
+
+    The walk keeps the name it is in, its depth and where it began, and writes down a range when the depth is back at zero.
+    An element without an end is none, or reaches to the page's end.
+    """
+    name = lambda t: F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
+    info = F.transform(ts, lambda t: F.struct(name(t).alias("name"), t.startswith("</").alias("end"), (t.endswith("/>") | name(t).isin(*VOID)).alias("alone"), (t.startswith("<") & starts(t)).alias("starts")))
+    whole = lambda x: F.lit(x).cast("int")
+
+    def state(name: Column, depth: Column, at: Column, i: Column, found: Column) -> Column:
+        return F.struct(name.alias("name"), depth.alias("depth"), at.alias("at"), i.alias("i"), found.alias("found"))
+
+    def closed(s: Column, a: Column, b: Column) -> Column:
+        return F.concat(s["found"], F.array(F.struct(a.alias("a"), b.alias("b"))))
+
+    def step(s: Column, x: Column) -> Column:
+        nxt, none = s["i"] + whole(1), F.lit(None).cast("string")
+        begins = s["name"].isNull() & x["starts"] & ~x["end"]
+        same = s["name"] == x["name"]
+        depth = s["depth"] + F.when(same & x["end"], whole(-1)).when(same & ~x["alone"], whole(1)).otherwise(whole(0))
+        return (
+            F.when(begins & x["alone"], state(none, whole(0), whole(0), nxt, closed(s, s["i"], s["i"])))
+            .when(begins, state(x["name"], whole(1), s["i"], nxt, s["found"]))
+            .when(s["name"].isNotNull() & (depth == 0), state(none, whole(0), whole(0), nxt, closed(s, s["at"], s["i"])))
+            .otherwise(state(s["name"], depth, s["at"], nxt, s["found"]))
+        )
+
+    zero = state(F.lit(None).cast("string"), whole(0), whole(0), whole(0), F.array().cast(RANGES))
+    last = lambda s: F.when(s["name"].isNotNull(), closed(s, s["at"], s["i"])).otherwise(s["found"]) if to_end else s["found"]
+    return F.aggregate(info, zero, step, last)
+
+
+def without_elements(html: Column, starts: Callable[[Column], Column]) -> Column:
+    """The page without the elements whose start tag `starts` accepts."""
+
+    def rest(ts: Column, cuts: Column) -> Column:
+        begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(cuts, k)["b"] + 1)
+        end = lambda k: F.when(k == F.size(cuts), F.size(ts)).otherwise(F.try_element_at(cuts, k + 1)["a"])
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda k: F.slice(ts, begin(k) + 1, end(k) - begin(k)))), "")
+
+    return bind(tag_stream(html), lambda ts: bind(element_ranges(ts, starts), lambda cuts: rest(ts, cuts)))
+
+
+def elements(html: Column, starts: Callable[[Column], Column]) -> Column:
+    """array<string>: what the outermost elements hold whose start tag `starts` accepts; without an end, to the page's end."""
+    inner = lambda ts, r: F.array_join(F.slice(ts, r["a"] + 2, F.greatest(r["b"] - r["a"] - 1, F.lit(0))), "")
+    return bind(tag_stream(html), lambda ts: F.transform(element_ranges(ts, starts, to_end=True), lambda r: inner(ts, r)))
 
 
 def decode_entities(c: Column) -> Column:
@@ -75,32 +132,27 @@ def plain(html: Column) -> Column:
 
 
 def strip_furniture(html: Column) -> Column:
-    """Without comments, scripts, navigation, page chrome and hidden elements."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, _element("|".join(ALWAYS_SKIP)), "")
-    t = F.regexp_replace(t, r"(?i)<(?:input|track|source)\b[^>]*>", "")
-    t = F.regexp_replace(t, _element("|".join(NAVIGATION)), "")
-    named = rf"""(?=[^>]*\s(?:class|id)\s*=\s*"(?:[^"]*?[\s])?(?:{'|'.join(CHROME)})[\s"]|[^>]*\s(?:class|id)\s*=\s*"(?:[^"]*?[\s_-])?(?:{'|'.join(CHROME_PARTS)})[\s_"-])[^>]*"""
-    t = F.regexp_replace(t, _element(HOLDERS, named), "")
-    t = F.regexp_replace(t, _element(HOLDERS, rf"""(?=[^>]*\srole\s*=\s*"(?:{'|'.join(CHROME_ROLES)})")[^>]*"""), "")
-    hidden = r"""(?=[^>]*(?:\shidden(?=[\s>=])|\saria-hidden\s*=\s*"true"|\sstyle\s*=\s*"[^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)))[^>]*"""
-    return F.regexp_replace(t, _element(HOLDERS, hidden), "")
+    """Without comments, scripts, navigation, page chrome and hidden elements, each to its own end tag."""
+    names = rf"""\s(?:class|id)\s*=\s*["'](?:[^"']*?\s)?(?:{'|'.join(CHROME)})[\s"']"""
+    parts = rf"""\s(?:class|id)\s*=\s*["'](?:[^"']*?[\s_-])?(?:{'|'.join(CHROME_PARTS)})[\s_"'-]"""
+    role = rf"""\srole\s*=\s*["'](?:{'|'.join(CHROME_ROLES)})["']"""
+    hidden = r"""\shidden(?=[\s>=])|\saria-hidden\s*=\s*["']true["']|\sstyle\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)"""
+    skipped = rf"(?i)^<(?:{'|'.join((*ALWAYS_SKIP, *NAVIGATION, 'input', 'track', 'source'))})\b"
+    furniture = rf"(?i)^<(?:{HOLDERS})\b[^>]*?(?:{names}|{parts}|{role}|{hidden})"
+    return without_elements(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), lambda t: t.rlike(skipped) | t.rlike(furniture))
 
 
 def article_root(html: Column) -> Column:
     """The largest article, else main, else #content; too small a one gives way to the body."""
     body = F.when(html.rlike(r"(?i)<body\b"), F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)).otherwise(html)
 
-    def largest(pattern: str, group: int) -> Column:
-        found = F.transform(
-            F.regexp_extract_all(html, F.lit(pattern), F.lit(group)), lambda h: F.struct(F.length(plain(h)).alias("n"), h.alias("h"))
-        )
-        return F.array_max(found)
+    def largest(start: str) -> Column:
+        return F.array_max(F.transform(elements(html, lambda t: t.rlike(start)), lambda h: F.struct(F.length(plain(h)).alias("n"), h.alias("h"))))
 
     candidate = F.coalesce(
-        largest(r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1),
-        largest(r"""(?is)<(main\b|\w+\b[^>]*\srole\s*=\s*"main")[^>]*>(.*?)</(?:main|div|section)\s*>""", 2),
-        largest(r"""(?is)<(\w+)\b[^>]*\sid\s*=\s*"(?:main-)?content"[^>]*>(.*?)</\1\s*>""", 2),
+        largest(r"(?i)^<article\b"),
+        largest(r"""(?i)^<(?:main\b|\w+\b[^>]*\srole\s*=\s*["']main["'])"""),
+        largest(r"""(?i)^<\w+\b[^>]*\sid\s*=\s*["'](?:main-)?content["']"""),
     )
     return bind(
         candidate,
@@ -264,6 +316,6 @@ def page_figures(html: Column) -> Column:
 
 def strip_note_marks(html: Column) -> Column:
     """Footnote and citation marks left out: marked elements, and short superscripts that are only #links."""
-    marked = r"""(?=[^>]*\s(?:epub:type|type|role|class)\s*=\s*"[^"]*(?:noteref|footnote-ref|reference|ltx_note_mark|ltx_cite|citation))[^>]*"""
-    t = F.regexp_replace(html, _element("sup|a|cite|span", marked), "")
+    marked = r"""(?i)^<(?:sup|a|cite|span)\b[^>]*\s(?:epub:type|type|role|class)\s*=\s*["'][^"']*(?:noteref|footnote-ref|reference|ltx_note_mark|ltx_cite|citation)"""
+    t = without_elements(html, lambda t: t.rlike(marked))
     return F.regexp_replace(t, r"""(?is)<sup\b[^>]*>(?:\s*<a\b[^>]*\shref\s*=\s*"#[^"]*"[^>]*>[^<]{0,8}</a\s*>)+\s*</sup\s*>""", "")

@@ -117,3 +117,13 @@ def test_heard_answers(spark):
 def test_terms(spark):
     lines = spark.createDataFrame([(1, 0, "We use CIFAR-10 and ImageNet."), (1, 1, "Then ReLU of Section II.")], "doc_id long, ord int, text string")
     assert [r.term for r in S.text_terms(lines).orderBy("rank").collect()] == ["ReLU", "CIFAR-10", "ImageNet"]
+
+
+def test_elements_nested_in_their_own_name(spark):
+    page = "<div class='sidebar'><div>menu</div>LEFT</div><p>a</p><nav><nav>x</nav>y</nav><div hidden><div/>z</div><input type=x>b<script>if (a < b) '<div>'</script><div class=\"text\">c</div>"
+    assert one(spark, page, W.strip_furniture) == "<p>a</p>b<div class=\"text\">c</div>"
+    long = "word " * 100
+    root = one(spark, f"<body><main><div>{long}</div><div>rest</div></main><p>out</p></body>", W.article_root)
+    assert root == f"<div>{long}</div><div>rest</div>"
+    assert one(spark, f"<p>x</p><article><article>{long}</article>tail", W.article_root).endswith("tail")
+    assert one(spark, "", W.strip_furniture) == "" and one(spark, "no tags < here", W.strip_furniture) == "no tags < here"
