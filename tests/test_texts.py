@@ -127,3 +127,13 @@ def test_elements_nested_in_their_own_name(spark):
     assert root == f"<div>{long}</div><div>rest</div>"
     assert one(spark, f"<p>x</p><article><article>{long}</article>tail", W.article_root).endswith("tail")
     assert one(spark, "", W.strip_furniture) == "" and one(spark, "no tags < here", W.strip_furniture) == "no tags < here"
+
+
+def test_markdown_fences_and_formulas_lose_nothing(spark):
+    text = "intro\n```py\n~~~\ncode\n``\n```\n# After\n$$\na\nb $$ (3)\ntail text\n~~~~\nx\n~~~\ny\n~~~~\n\\[ c \\] where\n\n$$ never closed\n\nlast\n```\nopen end"
+    d = spark.createDataFrame([(1, text), (2, "plain"), (3, ""), (4, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["kind"], r["text"]) for r in D.markdown_blocks(d).orderBy("doc_id", "ord").collect()]
+    assert got == [
+        (1, "paragraph", "intro"), (1, "code", "~~~\ncode\n``"), (1, "heading", "After"), (1, "math", "a\nb \\tag{3}"), (1, "paragraph", "tail text"), (1, "code", "x\n~~~\ny"),
+        (1, "math", "c \\text{ where}"), (1, "paragraph", "$$ never closed"), (1, "paragraph", "last"), (1, "code", "open end"), (2, "paragraph", "plain"),
+    ]
