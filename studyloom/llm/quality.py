@@ -122,10 +122,10 @@ def fences(measures: DataFrame) -> DataFrame:
     )
     groups = stored(groups, "quality-sketches")
     merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]]
-    langs, whole = groups.groupBy("lang").agg(*merged), groups.agg(*merged)
-    pick = lambda m: F.when(F.col("g.n") >= MIN_GROUP, F.col(f"g.{m}")).when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{m}")).otherwise(F.col(f"a.{m}"))
-    # one row for all: a join on a constant that holds for every group
-    j = groups.alias("g").join(langs.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(F.broadcast(whole.alias("a")), F.col("a.n") >= F.col("g.n"))
+    langs = groups.groupBy("lang").agg(*merged)
+    whole = groups.agg(*merged).first()  # one sketch of bounded size for each measure
+    pick = lambda m: F.when(F.col("g.n") >= MIN_GROUP, F.col(f"g.{m}")).when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{m}")).otherwise(F.lit(whole[m]).cast("binary"))
+    j = groups.alias("g").join(langs.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")))
     out = [F.col("g.lang").alias("lang"), F.col("g.source").alias("source")]
     for m, least in MEASURES.items():
         q1, q3 = (F.kll_sketch_get_quantile_double(pick(m), F.lit(q)) for q in (0.25, 0.75))
