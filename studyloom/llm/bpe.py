@@ -29,7 +29,7 @@ CUT = re.compile(r"(?=[ \n]\S)|(?<=\n)(?=\S)")
 SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: segments that a worker keeps
-KEPT_SEGMENTS = 1_200_000
+KEPT_SEGMENTS = 700_000
 KEPT_LENGTH = 64
 
 

@@ -347,6 +347,7 @@ def _identify(batches: Iterator[pa.RecordBatch], shared, text: str, keep: tuple[
                 **{c: part.column(c) for c in keep}, "lang_pred": pa.array(lang, pa.string()), "score": pa.array(np.where(none, 0.0, score)),
                 "cross_entropy": pa.array(np.where(none, np.nan, ce[np.arange(len(texts)), best]), from_pandas=True), "rejected": pa.array(none | (far > REJECT)),
             })
+    _scorers.clear()  # workers go on to other work; the words met here would stay with them
 
 
 def identified(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from studyloom.llm.bpe import segments, special_pattern
 from studyloom.llm.common import slices
 
-KEPT_SEGMENTS = 600_000
+KEPT_SEGMENTS = 500_000
 KEPT_LENGTH = 64
 BATCH_BYTES = 1 << 20
 
@@ -88,7 +88,7 @@ def load(path: str) -> Counter:
 def _count(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> Iterator[pa.RecordBatch]:
     counter = load(path)
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text"):
             texts = part.column("text")
             n = pa.array(counter.counts([t or "" for t in texts.to_pylist()]), pa.int64())
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
