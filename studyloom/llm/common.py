@@ -18,8 +18,9 @@ from xxhash import xxh64_intdigest
 SPACE = " \t\n\x0b\x0c\r"
 #: a word, as Java and Python read it
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 8 << 20
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+SLICE_BYTES = 2 << 20
+#: A-Z to a-z, byte by byte: no other character of UTF-8 has such a byte
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: what str.split takes for white space and the contracts don't
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -27,14 +28,14 @@ ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 
 def lower_words(text: str) -> list[str]:
     """The words of a text, A-Z in lower case."""
-    low = text.lower() if text.isascii() else text.translate(LOWER)
+    low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass")
     return [w for w in SPACES.split(low) if w] if ODD_SPACE.search(low) else low.split()
 
 
 class WordHashes:
     """64-bit hashes of words; a bounded number of those met is kept."""
 
-    def __init__(self, most: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, most: int = 300_000, longest: int = 64) -> None:
         self.kept: dict[str, int] = {}
         self.most, self.longest = most, longest
 

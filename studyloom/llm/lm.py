@@ -13,6 +13,7 @@ worker; all other words of a document are joined with the table.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from studyloom.llm.common import WordHashes, lower_words, slices, stored
+from studyloom.llm.common import lower_words, slices, stored
 
 #: the end of a text; no word can hold a space
 END = xxh64_intdigest(b" ")
@@ -41,14 +42,40 @@ class Size:
     top_words: int = 1 << 18
 
 
-class Tokens:
-    """Texts as arrays of 64-bit hashes: their words and their end."""
+class Vocabulary(dict):
+    """The words a worker has met, each with a number; `hashes` has their 64-bit hashes by number. Number 0 is the end."""
 
-    def __init__(self) -> None:
-        self.hashes = WordHashes()
+    def __init__(self, most: int = 500_000, most_chars: int = 32 << 20) -> None:
+        super().__init__()
+        self.most, self.most_chars, self.starts = most, most_chars, 0
+        self.restart()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        return np.array([*(self.hashes(lower_words(text)) if text else ()), END], np.uint64)
+    def restart(self) -> None:
+        self.clear()
+        self.starts += 1
+        self.fresh: list[int] = [END]
+        self.hashes = np.zeros(0, np.uint64)
+        self.chars = 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self) + 1
+        self.fresh.append(xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
+        self.chars += len(word)
+        return number
+
+    def slice(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words and ends of texts one after the other, and where each text begins.
+
+        Numbers hold for this slice; a vocabulary that has grown too large starts anew before it.
+        """
+        if len(self) > self.most or self.chars > self.most_chars:
+            self.restart()
+        seen = [[*map(self.__getitem__, lower_words(t)), 0] if t else [0] for t in texts]
+        lengths = np.array([len(x) for x in seen], np.int64)
+        if self.fresh:
+            self.hashes = np.concatenate([self.hashes, np.array(self.fresh, np.uint64)])
+            self.fresh = []
+        return np.fromiter(itertools.chain.from_iterable(seen), np.int64, int(lengths.sum())), np.cumsum(lengths) - lengths
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -59,13 +86,20 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def pairs_of(tokens: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it; the first follows an end."""
-    before = np.concatenate([[np.uint64(END)], tokens[:-1]])
+def gram_of(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """A hash of each two words."""
     with np.errstate(over="ignore"):
         return mixed(before * np.uint64(0x9FB21C651E98DF25) + tokens, 3)
 
 
+def pairs_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each token with the one before it; texts begin at `first`, each after an end."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[first] = END
+    return gram_of(before, tokens)
+
+
 def level(count: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
 
@@ -122,16 +156,21 @@ def made_segment(x: np.ndarray, counts: np.ndarray, segment_bits: int, bits_per_
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n): pairs of words and single words, counted within each slice of texts."""
-    tokens = Tokens()
+    """(gram, n): pairs of words, counted within each slice of texts."""
+    words = Vocabulary()
     for batch in batches:
-        for part in slices(batch, "text"):
-            seen = [tokens(t) for t in part.column("text").to_pylist()]
-            flat = np.concatenate([*[pairs_of(t) for t in seen], *[mixed(t, 1) for t in seen]])
-            x, n = np.unique(flat, return_counts=True)
+        for part in slices(batch, "text", 4 << 20):
+            numbers, first = words.slice(part.column("text").to_pylist())
+            x, n = np.unique(pairs_of(words.hashes[numbers], first), return_counts=True)
             yield pa.RecordBatch.from_pydict({"gram": pa.array(x.view(np.int64)), "n": pa.array(n)})
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of counted words."""
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(mixed(b.column("word").to_numpy().view(np.uint64), 1).view(np.int64)), "n": b.column("c")})
+
+
 def _segments(batches: Iterator[pa.RecordBatch], segments: int, segment_bits: int, bits_per_entry: float) -> Iterator[pa.RecordBatch]:
     """Rows come by gram, so by segment; one segment's counts are held at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -160,11 +199,13 @@ def _segments(batches: Iterator[pa.RecordBatch], segments: int, segment_bits: in
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens = Tokens()
+    words = Vocabulary()
     for batch in batches:
         for part in slices(batch, "text"):
-            x, n = np.unique(np.concatenate([tokens(t) for t in part.column("text").to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(x.view(np.int64)), "c": pa.array(n)})
+            numbers, _ = words.slice(part.column("text").to_pylist())
+            n = np.bincount(numbers, minlength=len(words.hashes))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words.hashes[some].view(np.int64)), "c": pa.array(n[some])})
 
 
 @dataclass
@@ -180,18 +221,44 @@ class Model:
     def word_logs(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
-    def log10(self, tokens: np.ndarray) -> float:
-        """The text's log10 probability: two-word histories smoothed by a Dirichlet prior of MU words.
+    def log10(self, one: np.ndarray, end: float, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The log10 probability of each token of texts that lie one after the other, each beginning at `first`.
 
-        p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), with counts read from the filter, and p(w) as in the base score.
+        one: the filter's count of each token; end: that of an end; grams: each token with the one before it. Two-word
+        histories are smoothed by a Dirichlet prior of MU words: p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), with p(w) as
+        in the base score. A pair is probed once for all its places.
         """
-        levels = self.filter.levels(np.concatenate([mixed(tokens, 1), pairs_of(tokens)]))
-        c = count_of(levels)
-        n = len(tokens)
-        one, two = c[:n], c[n:]
-        history = np.concatenate([one[-1:], one[:-1]])  # the first word follows an end
-        p1 = 10 ** self.word_logs(one)
-        return float(np.log10((np.minimum(two, history) + MU * p1) / (history + MU)).sum())
+        history = np.empty(len(one))
+        history[1:] = one[:-1]
+        history[first] = end
+        kinds, of = np.unique(grams, return_inverse=True)
+        two = count_of(self.filter.levels(kinds))[of]
+        return np.log10((np.minimum(two, history) + MU * 10 ** self.word_logs(one)) / (history + MU))
+
+
+class Facts:
+    """What the model knows of each word of a vocabulary, by its number: the filter's count, the exact count's log."""
+
+    def __init__(self, model: Model, words: Vocabulary) -> None:
+        self.model, self.words = model, words
+        self.reset()
+
+    def reset(self) -> None:
+        self.starts = self.words.starts
+        self.one, self.logs, self.known = np.zeros(0), np.zeros(0), np.zeros(0, bool)
+
+    def follow(self) -> None:
+        """Look up the words that are new."""
+        m, h = self.model, self.words.hashes
+        if self.starts != self.words.starts:
+            self.reset()
+        new = h[len(self.one) :]
+        w = new.view(np.int64)
+        at = np.minimum(np.searchsorted(m.top, w), max(0, len(m.top) - 1))
+        known = m.top[at] == w if len(m.top) else np.zeros(len(w), bool)
+        logs = np.where(known, m.word_logs(m.top_counts[at]), 0.0) if len(m.top) else np.zeros(len(w))
+        self.one = np.concatenate([self.one, count_of(m.filter.levels(mixed(new, 1)))])
+        self.logs, self.known = np.concatenate([self.logs, logs]), np.concatenate([self.known, known])
 
 
 def trained(train: DataFrame, size: Size = Size()) -> tuple[Model, DataFrame]:
@@ -205,7 +272,8 @@ def trained(train: DataFrame, size: Size = Size()) -> tuple[Model, DataFrame]:
     segment_bits = max(64, wanted // segments // 64 * 64)
     # dealt by segment, so that the counts of a segment are put together where its bits are made
     segment = F.shiftrightunsigned("gram", 64 - (segments.bit_length() - 1))
-    grams = train.mapInArrow(_grams, "gram long, n long").repartition(segment).sortWithinPartitions("gram")
+    grams = train.mapInArrow(_grams, "gram long, n long").union(words.mapInArrow(_single, "gram long, n long"))
+    grams = grams.repartition(segment).sortWithinPartitions("gram")
     made = grams.mapInArrow(lambda b: _segments(b, segments, segment_bits, size.bits_per_entry), "segment long, bits binary")
     bits = np.zeros(segments * segment_bits // 8, np.uint8)
     for r in made.collect():  # `max_bytes` in all
@@ -216,22 +284,22 @@ def trained(train: DataFrame, size: Size = Size()) -> tuple[Model, DataFrame]:
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     m: Model = shared.value
-    tokens = Tokens()
+    words = Vocabulary()
+    facts = Facts(m, words)
     for batch in batches:
-        for part in slices(batch, "text"):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score", "rare")}
-            for text in part.column("text").to_pylist():
-                t = tokens(text)
-                w = t.view(np.int64)
-                at = np.minimum(np.searchsorted(m.top, w), max(0, len(m.top) - 1))
-                hit = m.top[at] == w if len(m.top) else np.zeros(len(w), bool)
-                out["n_tokens"].append(len(w))
-                out["n_known"].append(int(hit.sum()))
-                out["base"].append(math.fsum(m.word_logs(m.top_counts[at[hit]])))
-                out["score"].append(m.log10(t))
-                out["rare"].append(w[~hit])
-            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in ("row", "id", "held_out")} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+        for part in slices(batch, "text", 4 << 20):
+            numbers, first = words.slice(part.column("text").to_pylist())
+            facts.follow()
+            tokens = words.hashes[numbers]
+            rare = ~facts.known[numbers]
+            n_rare = np.add.reduceat(rare.astype(np.int64), first)
+            lengths = np.diff(np.append(first, len(numbers)))
+            score = m.log10(facts.one[numbers], facts.one[0], pairs_of(tokens, first), first)
+            out = {
+                "n_tokens": pa.array(lengths), "n_known": pa.array(lengths - n_rare), "base": pa.array(np.add.reduceat(facts.logs[numbers], first)),
+                "score": pa.array(np.add.reduceat(score, first)), "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(tokens[rare].view(np.int64))),
+            }
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in ("row", "id", "held_out")} | out)
 
 
 def scored(docs: DataFrame, model: Model, words: DataFrame, held_out: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
