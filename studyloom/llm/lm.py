@@ -45,7 +45,7 @@ class Size:
 class Vocabulary(dict):
     """The words a worker has met, each with a number; `hashes` has their 64-bit hashes by number. Number 0 is the end."""
 
-    def __init__(self, most: int = 500_000, most_chars: int = 32 << 20) -> None:
+    def __init__(self, most: int = 300_000, most_chars: int = 16 << 20) -> None:
         super().__init__()
         self.most, self.most_chars, self.starts = most, most_chars, 0
         self.restart()
@@ -159,7 +159,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n): pairs of words, counted within each slice of texts."""
     words = Vocabulary()
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text"):
             numbers, first = words.slice(part.column("text").to_pylist())
             x, n = np.unique(pairs_of(words.hashes[numbers], first), return_counts=True)
             yield pa.RecordBatch.from_pydict({"gram": pa.array(x.view(np.int64)), "n": pa.array(n)})
@@ -287,7 +287,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     words = Vocabulary()
     facts = Facts(m, words)
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text"):
             numbers, first = words.slice(part.column("text").to_pylist())
             facts.follow()
             tokens = words.hashes[numbers]
