@@ -1,14 +1,14 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+"""Language-model scoring by counts of words and pairs of words over the whole training corpus.
 
-n-grams of one and two words are counted over the whole training corpus by Spark. A count c is kept as its level
-q = 1 + floor(log2 c); the filter holds (n-gram, 1), …, (n-gram, q), so that probing levels until one is missing reads q
-back. The filter is cut into segments by hash. Each segment is made by one task from its own n-grams, so neither counts nor
-n-grams meet on the driver, and the number of segments follows the corpus while the bits of all of them together are
-bounded by `Size.max_bytes`: where a segment's entries would overfill it, the lowest levels' n-grams stay out and are
-scored through their shorter history, as in any model with a count cut-off.
+Pairs are counted by Spark in segments by hash, and words in one table; both are exact and none is left out, however large
+the corpus. A segment's counts are made by one task from its own pairs and stored; the number of segments follows the
+corpus, so that one of them has a bounded size. To score, a document's pairs are sent to their segments, looked up there
+and summed up by document. So neither counts nor pairs meet on the driver, and nothing that grows is broadcast.
 
-Exact word counts are another matter: they are one table. The most frequent words, of a bounded number, go to every
-worker; all other words of a document are joined with the table.
+The most frequent words, of a bounded number, go to every worker with their counts. A pair that ends in another word lies
+in the segment of that word, beside the word's own count; all other words of a document are joined with the table.
+
+`Filter` and `made_segment` are a small approximate form of counts (log-frequency Bloom filter); scores don't use them.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh64_intdigest
 
 from studyloom.llm.common import lower_words, slices, stored
@@ -34,10 +36,9 @@ MU = 20.0
 
 @dataclass(frozen=True)
 class Size:
-    """Bounds of what is broadcast: the bytes of the filter, and the words whose exact counts every worker holds."""
+    """Bounds of what one task holds: the bytes and tokens of a segment of counts, and the words whose counts are broadcast."""
 
     max_bytes: int = 32 << 20
-    bits_per_entry: float = 10.0
     tokens_per_segment: int = 1 << 20
     top_words: int = 1 << 18
 
@@ -92,12 +93,12 @@ def gram_of(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         return mixed(before * np.uint64(0x9FB21C651E98DF25) + tokens, 3)
 
 
-def pairs_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it; texts begin at `first`, each after an end."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first] = END
-    return gram_of(before, tokens)
+def pairs_of(numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each word's number above that of the one before it; texts begin at `first`, each after an end."""
+    before = np.empty_like(numbers)
+    before[1:] = numbers[:-1]
+    before[first] = 0
+    return numbers << 32 | before
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -155,45 +156,102 @@ def made_segment(x: np.ndarray, counts: np.ndarray, segment_bits: int, bits_per_
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n): pairs of words, counted within each slice of texts."""
+def planes(a: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, …: zeros of small numbers lie together and shrink in a shuffle."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def pieces(segment: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each segment and the places where it is named, in order."""
+    order = np.argsort(segment, kind="stable")
+    begin = np.flatnonzero(np.diff(segment[order], prepend=-1))
+    for at in np.split(order, begin[1:]) if len(order) else []:
+        yield int(segment[at[0]]), at
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences, which are small where keys are."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data, np.uint64), dtype=np.uint64)
+
+
+#: set in keys that are hashes
+HASHED = np.uint64(1 << 63)
+
+
+def word_key(words: np.ndarray) -> np.ndarray:
+    """What stands for a word itself among the pairs of its segment."""
+    return mixed(words, 1) | HASHED
+
+
+def word_segment(words: np.ndarray, segments: int) -> np.ndarray:
+    return segment_of(mixed(words, 7), segments).astype(np.int64)
+
+
+def pair_segment(grams: np.ndarray, words: np.ndarray, known: np.ndarray, segments: int) -> np.ndarray:
+    """Pairs that end in a frequent word are dealt by themselves, so that no word is a hot key, others by their last word."""
+    return np.where(known, segment_of(grams, segments).astype(np.int64), word_segment(words, segments))
+
+
+COUNTED = "segment long, gram binary, n binary"
+
+
+def _counted(segment: np.ndarray, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(grams)
+    segment, grams, n = segment[order], grams[order], n[order]
+    got = [(s, steps(grams[at]), planes(n[at])) for s, at in pieces(segment)]
+    return pa.RecordBatch.from_pydict({"segment": pa.array([g[0] for g in got], pa.int64()), "gram": pa.array([g[1] for g in got], pa.binary()), "n": pa.array([g[2] for g in got], pa.binary())})
+
+
+def _grams(batches: Iterator[pa.RecordBatch], shared, segments: int) -> Iterator[pa.RecordBatch]:
+    """COUNTED rows: pairs of words, counted within each slice of texts."""
     words = Vocabulary()
+    facts = Facts(shared.value, words)
     for batch in batches:
         for part in slices(batch, "text"):
             numbers, first = words.slice(part.column("text").to_pylist())
-            x, n = np.unique(pairs_of(words.hashes[numbers], first), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(x.view(np.int64)), "n": pa.array(n)})
+            facts.follow()
+            pairs, n = np.unique(pairs_of(numbers, first), return_counts=True)
+            last = pairs >> 32
+            grams = gram_of(words.hashes[pairs & 0xFFFFFFFF], words.hashes[last])
+            yield _counted(pair_segment(grams, words.hashes[last], facts.at[last] >= 0, segments), facts.keys(grams, pairs & 0xFFFFFFFF, last), n)
 
 
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n) of counted words."""
+def _single(batches: Iterator[pa.RecordBatch], shared, segments: int) -> Iterator[pa.RecordBatch]:
+    """COUNTED rows of the words that aren't broadcast."""
     for b in batches:
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(mixed(b.column("word").to_numpy().view(np.uint64), 1).view(np.int64)), "n": b.column("c")})
+        w = b.column("word").to_numpy()
+        rest = find(shared.value.top, w) < 0
+        words = w[rest].view(np.uint64)
+        yield _counted(word_segment(words, segments), word_key(words), b.column("c").to_numpy()[rest])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], segments: int, segment_bits: int, bits_per_entry: float) -> Iterator[pa.RecordBatch]:
-    """Rows come by gram, so by segment; one segment's counts are held at a time."""
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One COUNTED row of each segment, sorted by gram. Rows come by segment; one segment's counts are held at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     last = None
 
     def done() -> pa.RecordBatch:
         x, n = (np.concatenate(c) for c in zip(*held, strict=True))
-        first = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
-        bits = made_segment(x[first].view(np.uint64), np.add.reduceat(n, first), segment_bits, bits_per_entry)
-        return pa.RecordBatch.from_pydict({"segment": pa.array([last], pa.int64()), "bits": pa.array([bits], pa.binary())})
+        order = np.argsort(x)
+        x, n = x[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        return pa.RecordBatch.from_pydict({"segment": pa.array([last], pa.int64()), "gram": pa.array([steps(x[first])], pa.binary()), "n": pa.array([planes(np.add.reduceat(n, first))], pa.binary())})
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, n = batch.column("gram").to_numpy(), batch.column("n").to_numpy()
-        seg = segment_of(x.view(np.uint64), segments).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(seg)) + 1
-        for b, e in zip([0, *cuts], [*cuts, len(seg)], strict=True):
-            if last is not None and seg[b] != last:
+        for segment, gram, n in zip(batch.column("segment").to_pylist(), batch.column("gram"), batch.column("n"), strict=True):
+            if last is not None and segment != last:
                 yield done()
                 held.clear()
-            last = int(seg[b])
-            held.append((x[b:e].copy(), n[b:e].copy()))
+            last = segment
+            held.append((unstepped(gram.as_py()), unplaned(n.as_py(), np.int64)))
     if held:
         yield done()
 
@@ -208,57 +266,76 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"word": pa.array(words.hashes[some].view(np.int64)), "c": pa.array(n[some])})
 
 
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key in the sorted `keys`, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 @dataclass
-class Model:
-    """What is broadcast: the filter, the exact counts of the most frequent words, and the corpus' totals."""
+class Known:
+    """What is broadcast: the exact counts of the most frequent words, and the corpus' totals."""
 
-    filter: Filter
     top: np.ndarray
     top_counts: np.ndarray
     tokens: int
     kinds: int
 
-    def word_logs(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
+    @property
+    def bits(self) -> int:
+        return max(1, len(self.top).bit_length())
 
-    def log10(self, one: np.ndarray, end: float, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The log10 probability of each token of texts that lie one after the other, each beginning at `first`.
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        """p(w) of the base score."""
+        return (counts + 0.5) / (self.tokens + 0.5 * (self.kinds + 1))
 
-        one: the filter's count of each token; end: that of an end; grams: each token with the one before it. Two-word
-        histories are smoothed by a Dirichlet prior of MU words: p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), with p(w) as
-        in the base score. A pair is probed once for all its places.
-        """
-        history = np.empty(len(one))
-        history[1:] = one[:-1]
-        history[first] = end
-        kinds, of = np.unique(grams, return_inverse=True)
-        two = count_of(self.filter.levels(kinds))[of]
-        return np.log10((np.minimum(two, history) + MU * 10 ** self.word_logs(one)) / (history + MU))
+
+@dataclass
+class Model:
+    """Two-word histories are smoothed by a Dirichlet prior of MU words: p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), with
+    p(w) as in the base score. A text's histories are its own tokens, its end first, so the log of its probability is a sum
+    over its words, of log MU p(w) - log(c(w) + MU), and one over its pairs, of log(1 + c(v w) / (MU p(w))).
+
+    pairs: COUNTED rows, one of each segment."""
+
+    known: Known
+    segments: int
+    pairs: DataFrame
 
 
 class Facts:
-    """What the model knows of each word of a vocabulary, by its number: the filter's count, the exact count's log."""
+    """What the broadcast words tell of each word of a vocabulary, by its number: its place among them or -1, and its terms
+    of base score and score."""
 
-    def __init__(self, model: Model, words: Vocabulary) -> None:
-        self.model, self.words = model, words
+    def __init__(self, known: Known, words: Vocabulary) -> None:
+        self.model, self.words = known, words
         self.reset()
 
     def reset(self) -> None:
         self.starts = self.words.starts
-        self.one, self.logs, self.known = np.zeros(0), np.zeros(0), np.zeros(0, bool)
+        self.at, self.logs, self.back = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
 
     def follow(self) -> None:
         """Look up the words that are new."""
         m, h = self.model, self.words.hashes
         if self.starts != self.words.starts:
             self.reset()
-        new = h[len(self.one) :]
-        w = new.view(np.int64)
-        at = np.minimum(np.searchsorted(m.top, w), max(0, len(m.top) - 1))
-        known = m.top[at] == w if len(m.top) else np.zeros(len(w), bool)
-        logs = np.where(known, m.word_logs(m.top_counts[at]), 0.0) if len(m.top) else np.zeros(len(w))
-        self.one = np.concatenate([self.one, count_of(m.filter.levels(mixed(new, 1)))])
-        self.logs, self.known = np.concatenate([self.logs, logs]), np.concatenate([self.known, known])
+        at = find(m.top, h[len(self.at) :].view(np.int64))
+        c = self.counts(at)
+        logs = np.where(at >= 0, np.log10(m.share(c)), 0.0)
+        back = np.where(at >= 0, logs + math.log10(MU) - np.log10(c + MU), 0.0)
+        self.at, self.logs, self.back = np.concatenate([self.at, at]), np.concatenate([self.logs, logs]), np.concatenate([self.back, back])
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        """The counts of words by their places; 0 for -1."""
+        return np.where(at >= 0, self.model.top_counts[at], 0) if len(self.model.top) else np.zeros(len(at), np.int64)
+
+    def keys(self, grams: np.ndarray, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A short key of pairs of two broadcast words, the last word's place in front; else the pair's hash."""
+        v, w = self.at[before], self.at[last]
+        return np.where((v >= 0) & (w >= 0), (w << self.model.bits | v).astype(np.uint64), grams | HASHED)
 
 
 def trained(train: DataFrame, size: Size = Size()) -> tuple[Model, DataFrame]:
@@ -266,40 +343,111 @@ def trained(train: DataFrame, size: Size = Size()) -> tuple[Model, DataFrame]:
     train = train.select("text")
     words = stored(train.mapInArrow(_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     tokens, kinds = (int(x or 0) for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
-    top = words.orderBy(F.col("c").desc(), "word").limit(size.top_words).toPandas()
-    segments = 1 << max(6, math.ceil(math.log2(max(1, 2 * tokens / size.tokens_per_segment))))
-    wanted = max(1 << 16, min(8 * size.max_bytes, math.ceil(2 * tokens * size.bits_per_entry)))
-    segment_bits = max(64, wanted // segments // 64 * 64)
-    # dealt by segment, so that the counts of a segment are put together where its bits are made
-    segment = F.shiftrightunsigned("gram", 64 - (segments.bit_length() - 1))
-    grams = train.mapInArrow(_grams, "gram long, n long").union(words.mapInArrow(_single, "gram long, n long"))
-    grams = grams.repartition(segment).sortWithinPartitions("gram")
-    made = grams.mapInArrow(lambda b: _segments(b, segments, segment_bits, size.bits_per_entry), "segment long, bits binary")
-    bits = np.zeros(segments * segment_bits // 8, np.uint8)
-    for r in made.collect():  # `max_bytes` in all
-        bits[r["segment"] * segment_bits // 8 :][: segment_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    by = top.sort_values("word")
-    return Model(Filter(bits, segments, segment_bits), by["word"].to_numpy(np.int64), by["c"].to_numpy(np.int64), tokens, kinds), words
-
-
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    m: Model = shared.value
+    by = words.orderBy(F.col("c").desc(), "word").limit(size.top_words).toPandas().sort_values("word")
+    known = Known(by["word"].to_numpy(np.int64), by["c"].to_numpy(np.int64), tokens, kinds)
+    # 16 bytes a pair
+    segments = 1 << max(6, math.ceil(math.log2(max(1, 2 * tokens / size.tokens_per_segment, 16 * tokens / size.max_bytes))))
+    shared = train.sparkSession.sparkContext.broadcast(known)
+    counted = train.mapInArrow(lambda b: _grams(b, shared, segments), COUNTED).union(words.mapInArrow(lambda b: _single(b, shared, segments), COUNTED))
+    # dealt by segment, so that the counts of a segment are put together where they are stored
+    pairs = stored(counted.repartition("segment").sortWithinPartitions("segment").mapInArrow(_segments, COUNTED), "pair-counts")
+    return Model(known, segments, pairs), words
+
+
+#: documents whose sums one task keeps before it gives them out
+KEPT_SUMS = 1 << 20
+#: kinds of rows that are dealt to segments, in this order within one
+COUNTS, PAIRS, DOCUMENT = 0, 1, 2
+
+
+def _deal(batches: Iterator[pa.RecordBatch], shared, segments: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One row of each document, and for each slice of texts one of each segment: its pairs by document."""
     words = Vocabulary()
-    facts = Facts(m, words)
+    facts = Facts(shared.value, words)
+
+    def batch_of(n: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
     for batch in batches:
         for part in slices(batch, "text"):
             numbers, first = words.slice(part.column("text").to_pylist())
             facts.follow()
-            tokens = words.hashes[numbers]
-            rare = ~facts.known[numbers]
-            n_rare = np.add.reduceat(rare.astype(np.int64), first)
+            row, h = part.column("row").to_numpy(), words.hashes
             lengths = np.diff(np.append(first, len(numbers)))
-            score = m.log10(facts.one[numbers], facts.one[0], pairs_of(tokens, first), first)
-            out = {
-                "n_tokens": pa.array(lengths), "n_known": pa.array(lengths - n_rare), "base": pa.array(np.add.reduceat(facts.logs[numbers], first)),
-                "score": pa.array(np.add.reduceat(score, first)), "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(tokens[rare].view(np.int64))),
-            }
-            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in ("row", "id", "held_out")} | out)
+            rare = facts.at[numbers] < 0
+            n_rare = np.add.reduceat(rare.astype(np.int64), first)
+            yield batch_of(len(row), {
+                "segment": pa.array(row % segments), "kind": pa.array(np.full(len(row), DOCUMENT, np.int32)), "n_tokens": pa.array(lengths), "n_known": pa.array(lengths - n_rare),
+                "base": pa.array(np.add.reduceat(facts.logs[numbers], first)), "score": pa.array(np.add.reduceat(facts.back[numbers], first)),
+                "rare": pa.array(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(h[numbers[rare]].view(np.int64)))),
+            } | {c: part.column(c) for c in ("row", "id", "held_out")})
+            pairs, owner = pairs_of(numbers, first), np.repeat(row - row[0], lengths)
+            before = pairs & 0xFFFFFFFF
+            grams = gram_of(h[before], h[numbers])
+            keys = facts.keys(grams, before, numbers)
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], owner[order]
+            begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]))
+            n = np.diff(np.append(begin, len(keys)))
+            keys, owner, grams, last = keys[begin], owner[begin], grams[order[begin]], numbers[order[begin]]
+            got = []
+            for segment, at in pieces(pair_segment(grams, h[last], facts.at[last] >= 0, segments)):
+                hashed = last[at[keys[at] >= HASHED]]
+                c = facts.counts(facts.at[hashed])
+                got.append((segment, steps(keys[at]), planes(n[at]), planes(c), word_key(h[hashed[c == 0]]).tobytes(), planes(owner[at])))
+            columns = {"segment": pa.array([g[0] for g in got], pa.int64()), "kind": pa.array([PAIRS] * len(got), pa.int32()), "row": pa.array([row[0]] * len(got), pa.int64())}
+            yield batch_of(len(got), columns | {name: pa.array([g[i] for g in got], pa.binary()) for i, name in enumerate(("gram", "n", "c", "words", "owner"), 1)})
+
+
+def _look_up(batches: Iterator[pa.RecordBatch], shared, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as they are, and sums over pairs by document: (row, score), several for a document.
+
+    Rows come by segment, its counts first; only these and a bounded number of sums are held."""
+    m: Known = shared.value
+    here, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows: list[np.ndarray] = []
+    sums: list[np.ndarray] = []
+    schema = None
+
+    def count(wanted: np.ndarray) -> np.ndarray:
+        at = find(keys, wanted)
+        return np.where(at >= 0, counts[at], 0)
+
+    def summed() -> None:
+        row, of = np.unique(np.concatenate(rows), return_inverse=True)
+        sums[:] = [np.bincount(of, np.concatenate(sums), len(row))]
+        rows[:] = [row]
+
+    def given_out() -> pa.RecordBatch:
+        columns = {"kind": pa.array(np.full(len(rows[0]), PAIRS, np.int32)), "row": pa.array(rows[0]), "score": pa.array(sums[0])}
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(rows[0]), f.type) for f in schema], schema=schema)
+
+    for batch in batches:
+        documents = batch.filter(pc.equal(batch.column("kind"), DOCUMENT)).select(names)
+        schema = documents.schema
+        if documents.num_rows:
+            yield documents
+        for i, kind in enumerate(batch.column("kind").to_pylist()):
+            value = lambda name: batch.column(name)[i].as_py()  # noqa: B023, E731
+            if kind == COUNTS:
+                here, keys, counts = value("segment"), unstepped(value("gram")), unplaned(value("n"), np.int64)
+            elif kind == PAIRS and value("segment") == here:
+                pairs, rest = unstepped(value("gram")), unplaned(value("c"), np.int64)
+                rest[rest == 0] = count(np.frombuffer(value("words"), np.uint64))
+                two, short = count(pairs), int(np.searchsorted(pairs, HASHED))
+                c = np.concatenate([m.top_counts[(pairs[:short] >> np.uint64(m.bits)).astype(np.int64)], rest])
+                some = np.flatnonzero(two)
+                rows.append(value("row") + unplaned(value("owner"), np.int64)[some])
+                sums.append(unplaned(value("n"), np.int64)[some] * np.log10(1 + two[some] / (MU * m.share(c[some]))))
+                if sum(map(len, rows)) > 2 * KEPT_SUMS:
+                    summed()
+                    if len(rows[0]) > KEPT_SUMS:
+                        yield given_out()
+                        rows.clear()
+                        sums.clear()
+    if rows:
+        summed()
+        yield given_out()
 
 
 def scored(docs: DataFrame, model: Model, words: DataFrame, held_out: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,20 +455,31 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, held_out: Column | N
 
     A null text counts as empty: one token, its end. base_score sums exact word counts' logs; score is the model's log10
     probability of the text. Repeated rows are scored each for itself. With an empty training corpus every word is unknown.
-    Other columns are not looked at. Only a document's words beyond the most frequent ones are shuffled, as hashes.
+    Other columns are not looked at. A document's pairs are shuffled once, as hashes by segment, and its words beyond the
+    most frequent ones.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.known)
     d = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), docs[text].alias("text"))
-    s = d.mapInArrow(lambda b: _score(b, shared), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
+    given = f"kind int, row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+    sent = given + ", segment long, gram binary, n binary, c binary, words binary, owner binary"
+    like = docs.sparkSession.createDataFrame([], sent).schema
+    arrow, names, segments = to_arrow_schema(like), [x.split()[0] for x in given.split(", ")], model.segments
+    dealt = d.mapInArrow(lambda b: _deal(b, shared, segments, arrow), sent).unionByName(model.pairs.withColumn("kind", F.lit(COUNTS)), allowMissingColumns=True)
+    s = dealt.repartition("segment").sortWithinPartitions("segment", "kind").mapInArrow(lambda b: _look_up(b, shared, names), given)
     s = stored(s, "scores")
-    all_tokens, floor = model.tokens, model.tokens + 0.5 * (model.kinds + 1)
+    all_tokens, floor = model.known.tokens, model.known.tokens + 0.5 * (model.known.kinds + 1)
+    sums = s.filter(F.col("kind") == PAIRS).groupBy("row").agg(F.sum("score").alias("pairs"))
+    s = s.filter(F.col("kind") == DOCUMENT).drop("kind")
     rare = s.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
     # words of count 0 too: an inner join would lose their share of the score
     c = F.coalesce("c", F.lit(0))
-    rest = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(floor))).alias("rest"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"))
-    out = s.drop("rare").join(rest, "row", "left")
+    log = F.log10((c + 0.5) / F.lit(floor))
+    rest = rare.join(words, "word", "left").groupBy("row").agg(
+        F.sum(F.col("n") * log).alias("rest"), F.sum(F.col("n") * (log + F.lit(math.log10(MU)) - F.log10(c + F.lit(MU)))).alias("back"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more")
+    )
+    out = s.drop("rare").join(rest, "row", "left").join(sums, "row", "left")
     return out.select(
         F.col("id").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(all_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("back", F.lit(0.0)) + F.coalesce("pairs", F.lit(0.0))).alias("score"),
     )

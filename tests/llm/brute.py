@@ -59,6 +59,19 @@ def base_scores(docs, held):
     return n, {r: (len(w), sum(c[x] > 0 for x in w), math.fsum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)) for r, w in tokens.items()}
 
 
+def pair_scores(train, docs, mu):
+    """id -> log10 probability with exact counts of words and pairs."""
+    split = lambda t: [*WORD.findall((t or "").translate(LOWER)), " "]
+    c, two = Counter(), Counter()
+    for t in train:
+        w = split(t)
+        c.update(w)
+        two.update(zip([" ", *w], w, strict=False))
+    n, v = sum(c.values()), len(c)
+    p = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
+    return {i: math.fsum(math.log10((two[a, b] + mu * p(b)) / (c[a] + mu)) for a, b in zip([" ", *split(t)], split(t), strict=False)) for i, t in docs}
+
+
 def crc(key):
     return zlib.crc32(str(key).encode())
 

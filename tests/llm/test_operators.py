@@ -332,6 +332,18 @@ def test_lm_scores(spark, docs, nothing, records, size):
     assert {r["n_known"] for r in lm.scored(docs, model, words).collect()} == {0}
 
 
+@pytest.mark.parametrize("size", [lm.Size(), lm.Size(top_words=3, max_bytes=4096), lm.Size(top_words=40, tokens_per_segment=256)])
+def test_lm_keeps_every_pair_at_any_size(spark, docs, records, size):
+    """Pairs and words seen once count as much as in a plain model, however small the parts are in which counts are held."""
+    more = [(i, f"rare{i} word{i} of the rare{i // 2} word{i // 2} again again again") for i in range(1000, 1400)]
+    train = [(i, t) for i, t, *_ in records] + more
+    model, words = lm.trained(spark.createDataFrame(train, "doc_id long, text string"), size)
+    held = [*more[:50], (1, "rare1000 word1000 never seen of the"), (2, None), (3, train[0][1])]
+    want = brute.pair_scores([t for _, t in train], held, lm.MU)
+    got = {r["doc_id"]: r["score"] for r in lm.scored(spark.createDataFrame(held, "doc_id long, text string"), model, words).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_filter_reads_levels_back():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, 20_000, np.int64).astype(np.uint64)
