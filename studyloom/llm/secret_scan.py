@@ -25,10 +25,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 #: words without which ASSIGN can't match, in lower case
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1PRIVATE KEY-----")
+#: kind, headers such as Proc-Type and DEK-Info, body
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?:\s|\\[nr])*[A-Z][A-Za-z0-9-]{1,40}:[^\r\n\\]{0,200}(?:[\r\n]|\\[nr]))*)([A-Za-z0-9+/=\s\\]{16,}?)-----END \1PRIVATE KEY-----")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{4,})\.(ey[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-#: runs that may hold a whole key: base64 and hex of a SEQUENCE, or of the OpenSSH container's magic
-KEY64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: where base64, plain or URL-safe, of a SEQUENCE, of the OpenSSH container's magic or of a PEM text may begin: after anything
+#: but a letter or digit, also after an escaped line end or a percent-encoded character
+KEY64 = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt])|(?<=%[0-9A-Fa-f]{2}))(?=(?:M[A-P]|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{16})")
+#: one line of base64, up to the dashes of a PEM mark; what lies between two lines
+LINE64 = re.compile(r"(?:[A-Za-z0-9+/_]+|-(?!----))+")
+BREAK64 = re.compile(r"[ \t]*(?:\r?\n|\\r\\n|\\n|\\r)[ \t]*")
+PAD64 = re.compile("={0,2}")
 KEYHEX = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)(?:[0-9A-Fa-f]{2}){31,}(?![0-9A-Fa-f])")
 #: the order of kinds that begin at one place
 KINDS = ("assign", "access", "hex", "jwt", "pem", "key64", "keyhex")
@@ -86,22 +92,27 @@ def is_der_key(data: bytes) -> bool:
     return tags == [0x30, 0x04] and len(top[1][1]) >= 32 and any(depth == 2 and tag == 0x06 for depth, tag, *_ in items)
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The container's counted strings: cipher, kdf, options, the number of keys, public keys, the private block."""
+def openssh_length(data: bytes) -> int | None:
+    """The bytes of the container that `data` begins with, by its counted strings: cipher, kdf, options, the number of keys,
+    public keys, the private block."""
     if not data.startswith(OPENSSH):
-        return False
+        return None
     at, strings, keys = len(OPENSSH), 0, 0
     while strings < 4 + keys or strings < 4:
         if strings == 3 and not keys:
             keys, at = int.from_bytes(data[at : at + 4]), at + 4
             if not 1 <= keys <= 64:
-                return False
+                return None
         n, at = int.from_bytes(data[at : at + 4]), at + 4
         at += n
         strings += 1
         if at > len(data):
-            return False
-    return at == len(data)
+            return None
+    return at
+
+
+def is_openssh_key(data: bytes) -> bool:
+    return openssh_length(data) == len(data)
 
 
 def is_key(data: bytes) -> bool:
@@ -117,6 +128,99 @@ def from_base64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
+def der_length(head: bytes) -> int | None:
+    """The bytes of a SEQUENCE that may be a key, by its first 12: a version or another SEQUENCE comes first in it."""
+    n, at = head[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + k]), 2 + k
+    return at + n if head[at : at + 3] in (b"\2\1\0", b"\2\1\1") or head[at] == 0x30 else None
+
+
+def chars_of(n: int) -> int:
+    """The characters of base64 that n bytes take without padding."""
+    return (4 * n + 2) // 3
+
+
+def line_pieces(text: str, at: int, most: float = float("inf")) -> list[tuple[int, str]]:
+    """(place, characters) of the lines of base64 that begin at `at`, until there are `most` characters."""
+    out: list[tuple[int, str]] = []
+    n = 0
+    while n < most and (m := LINE64.match(text, at)):
+        out.append((at, m[0]))
+        n += len(m[0])
+        if not (gap := BREAK64.match(text, m.end())):
+            break
+        at = gap.end()
+    return out
+
+
+def decoded64(pieces: list[tuple[int, str]], chars: int | None = None) -> bytes | None:
+    run = "".join(p for _, p in pieces)[:chars]
+    if chars is None and len(run) % 4 == 1:
+        run = run[:-1]
+    return from_base64(run, url="-" in run or "_" in run)
+
+
+def key64_end(text: str, at: int) -> int | None:
+    """Where base64 of a whole key that begins at `at` ends, on one line or several; None if there is none."""
+    if text[at] == "M":
+        head = decoded64([(at, text[at : at + 16])])
+        if not head or (n := der_length(head)) is None:
+            return None
+        pieces = line_pieces(text, at, chars_of(n))
+    else:
+        pieces = line_pieces(text, at)
+        signs = ""
+        for i, (_, p) in enumerate(pieces):  # lines of the other alphabet are no part of it
+            signs += "".join({*p} & {*"+/-_"})
+            if {*signs} & {*"+/"} and {*signs} & {*"-_"}:
+                pieces = pieces[:i]
+                break
+        data = decoded64(pieces)
+        if not data:
+            return None
+        if data.startswith(OPENSSH):
+            n = openssh_length(data)
+        else:
+            ends = [e for _, e in pem_spans(data.decode("latin-1"))]
+            n = ends[-1] if ends else None
+        if n is None:
+            return None
+    left = chars_of(n)
+    if left > sum(len(p) for _, p in pieces) or (text[at] != "L" and not is_key(decoded64(pieces, left) or b"")):
+        return None
+    for begin, p in pieces:
+        if left <= len(p):
+            return PAD64.match(text, begin + left).end()
+        left -= len(p)
+    return None
+
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """Marked private keys. What is encrypted by its headers can't be read and is told by its marks."""
+    out = []
+    for m in PEM.finditer(text) if "PRIVATE KEY-----" in text else ():
+        data = from_base64(re.sub(r"\\[nr]|\s", "", m[3]))
+        if data and (is_key(data) or "ENCRYPTED" in m[2] or "DEK-Info:" in m[2]):
+            out.append(m.span())
+    return out
+
+
+def key64_spans(text: str, marked: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Base64 of keys outside of `marked` stretches, none within another."""
+    out: list[tuple[int, int]] = []
+    to = 0
+    for m in KEY64.finditer(text):
+        at = m.start()
+        if at >= to and not any(b <= at < e for b, e in marked) and (end := key64_end(text, at)):
+            out.append((at, end))
+            to = end
+    return out
+
+
 def is_object(part: str, key: str | None = None) -> bool:
     data = from_base64(part, url=True)
     try:
@@ -142,14 +246,8 @@ def confirmed_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "ey" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_object(m[1], "alg") and is_object(m[2]) and (m[3] == "" or from_base64(m[3], url=True))]
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"\\[nr]|\s", "", m[2])
-            if (data := from_base64(body)) and is_key(data):
-                out.append(("pem", *m.span()))
-    for m in KEY64.finditer(text):
-        if (data := from_base64(m[0])) and is_key(data):
-            out.append(("key64", *m.span()))
+    pem = pem_spans(text)
+    out += [("pem", *x) for x in pem] + [("key64", *x) for x in key64_spans(text, pem)]
     return out + [("keyhex", *m.span()) for m in KEYHEX.finditer(text) if is_key(bytes.fromhex(m[0]))]
 
 

@@ -53,6 +53,27 @@ def test_keys_are_confirmed_by_their_lengths(key):
     assert not secret_scan.confirmed_spans(f"-----BEGIN PRIVATE KEY-----{broken}-----END PRIVATE KEY----- {broken}")
 
 
+@pytest.mark.parametrize("key", [RSA, PKCS8, SSH])
+def test_keys_are_found_wherever_base64_stands(key):
+    plain, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("=")
+    lines = base64.encodebytes(key).decode().strip()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----\n"
+    nested = base64.b64encode(pem.encode()).decode()
+    for found in (plain, url, lines, lines.replace("\n", "\\n"), nested):
+        for before, after in (("PRIVATE_KEY=", "\nNEXT=1"), ("k: ", " b"), ("/", "&x"), ("\\n", "\n\nand words follow"), ('"', '"')):
+            text = before + found + after
+            got = [(text[b:e].rstrip("="), k) for k, b, e in secret_scan.confirmed_spans(text)]
+            want = found if found != nested else text[len(before) :][: len(got[0][0])]
+            assert got == [(want.rstrip("="), "key64")] and len(want) >= len(found) - 4, text
+    assert not secret_scan.confirmed_spans(f"K={plain[:-8]}\n") and not secret_scan.confirmed_spans(f"K={nested[:200]}")
+
+
+def test_encrypted_keys_with_headers_are_told_by_their_marks():
+    body = base64.encodebytes(bytes(range(200))).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n{body}-----END RSA PRIVATE KEY-----"
+    assert secret_scan.confirmed_spans(f"x {pem}\n") == [("pem", 2, 2 + len(pem))]
+
+
 def test_tokens_are_confirmed_by_their_header():
     good, no_alg = token({"alg": "HS256"}, {"sub": 1}), token({"typ": "JWT"}, {"sub": 1})
     assert [k for k, *_ in secret_scan.confirmed_spans(f"{good} {no_alg} eyJhbGci.eyJzdWIi.x")] == ["jwt"]
