@@ -3,7 +3,7 @@
 Everything is a SQL expression over the row, a mergeable quantile sketch (KLL) per language and source, or a join. A row's
 measures are computed once and stored; the sketches of a (language, source) merge into those of the language and of the
 whole table, which stand in where a group is too small to speak for itself. A document goes when a measure lies far
-outside the quartiles of its own group, so no fixed cut-off decides.
+outside the quartiles of its own group and far beyond the group's own tail, so no fixed cut-off decides.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from studyloom.llm.common import SPACE, stored
 
-#: shares that are judged, and the least spread (interquartile range) that each is taken to have
-MEASURES = {"symbol_share": 0.05, "odd_share": 0.05, "upper_share": 0.05, "dup_line_share": 0.10, "repeat_share": 0.10, "word_length": 0.75}
+#: shares that are judged, and the least spread that each is taken to have: what a single sign, word or line makes in a text
+MEASURES = {"symbol_share": 0.0025, "odd_share": 0.0025, "upper_share": 0.0025, "dup_line_share": 0.0125, "repeat_share": 0.0125, "word_length": 0.05}
 #: measures that are odd when small, too
 TWO_SIDED = ("word_length",)
-#: how many spreads beyond the quartile are still usual
+#: how many spreads beyond a quantile are still usual: interquartile ranges beyond the quartile, or tails beyond the quantile
+#: of TAIL, a tail being its distance from the quartile
+TAIL = 0.05
 REACH = 4.0
 #: documents below which a group borrows the sketch of its language, and a language that of all
 MIN_GROUP = 100
@@ -128,9 +130,9 @@ def fences(measures: DataFrame) -> DataFrame:
     j = groups.alias("g").join(langs.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")))
     out = [F.col("g.lang").alias("lang"), F.col("g.source").alias("source")]
     for m, least in MEASURES.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(pick(m), F.lit(q)) for q in (0.25, 0.75))
-        reach = F.lit(REACH) * F.greatest(q3 - q1, F.lit(least))
-        out += [(q1 - reach).alias(f"low_{m}"), (q3 + reach).alias(f"high_{m}")]
+        q0, q1, q3, q4 = (F.kll_sketch_get_quantile_double(pick(m), F.lit(q)) for q in (TAIL, 0.25, 0.75, 1 - TAIL))
+        reach = lambda spread, least=least: F.lit(REACH) * F.greatest(spread, F.lit(least))
+        out += [F.least(q1 - reach(q3 - q1), q0 - reach(q1 - q0)).alias(f"low_{m}"), F.greatest(q3 + reach(q3 - q1), q4 + reach(q4 - q3)).alias(f"high_{m}")]
     return j.select(*out)
 
 

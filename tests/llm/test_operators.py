@@ -180,6 +180,25 @@ def test_quality_thresholds_adapt(spark):
     assert bad == {5000}
 
 
+def test_quality_fences_of_groups_without_spread(spark):
+    """One outlier of each measure in a source where no document has anything of it."""
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05}")
+    lines = lambda k: [" ".join(word(k * 100 + j * 5 + x) for x in range(5)) for j in range(20)]
+    text = lambda k, change: "\n".join(change(lines(k)))
+    words = lambda k, change: " ".join(change(" ".join(lines(k)).split()))
+    odd = {
+        "symbol_share": words(501, lambda w: [x + "|" * (i < 19) for i, x in enumerate(w)]),
+        "odd_share": words(502, lambda w: [x + ";" * (i < 60) for i, x in enumerate(w)]),
+        "upper_share": words(503, lambda w: [x.upper() if i < 15 else x for i, x in enumerate(w)]),
+        "dup_line_share": text(504, lambda x: [y for i in range(12) for y in [x[i], *["zzzzz"] * (i < 8)]]),
+        "repeat_share": words(505, lambda w: w[:85] + w[:15]),
+        "word_length": words(506, lambda w: [x * 2 for x in w]),
+    }
+    d = [(k, text(k, list), "en", "plain") for k in range(150)] + [(1000 + i, t, "en", "plain") for i, t in enumerate(odd.values())]
+    bad = {r["doc_id"]: r["failed"] for r in quality.quality(spark.createDataFrame(d, "doc_id long, text string, lang string, source string")).filter("not kept").collect()}
+    assert set(bad) == set(range(1000, 1006)) and all(m in bad[1000 + i] for i, m in enumerate(odd))
+
+
 def test_repeated_words_of_random_words(spark):
     rng = np.random.default_rng(5)
     texts = [(i, " ".join(rng.choice(list("abcd"), n))) for i, n in enumerate([0, 1, 2, 3, 4, 5, 8, 16, 17, 31, 32, 33, 64, 65, 200, 1000])]
