@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import bpe, langid, lm, mixing, near_dups, quality, secret_scan, sharding, token_counts, top_k
+from studyloom.llm import bpe, langid, lm, mixing, near_dups, quality, runs, secret_scan, sharding, token_counts, top_k
+from studyloom.llm.common import WORD
 from studyloom.queries.registry import Registry
 
 R = Registry()
@@ -79,3 +80,33 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("op10_sharding")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shards(documents(spark, sf), [1.0] * 8)
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """`docs` with every tenth text, by the hash of its id, made periodic from some word on; these texts become their words,
+    joined by spaces. A row without an id is left as it is."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p) + 1
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, place(i).cast("int"))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    return docs.withColumn("text", F.when(h % 10 == 0, F.transform(F.array(words), loop)[0]).otherwise(F.col("text")))
+
+
+@R.add("op11_periodic_runs")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.periodic_runs(with_loops(documents(spark, sf).select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    d = found.withColumn("_most", longest)
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_most.s")).alias("start"), F.col("_most.n").alias("length"), (-F.col("_most.q")).alias("period"),
+        F.expr("1000 * _most.n div -_most.q").cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

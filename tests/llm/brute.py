@@ -118,3 +118,29 @@ def groups_by(pairs):
     for k, v in pairs:
         out[k].append(v)
     return out
+
+
+def word_runs(w, least=12):
+    """[(start, length, period)] by trying every period."""
+    n, found = len(w), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            if i > s and i + q - s >= max(least, 2 * q):
+                found.setdefault((s, i + q), q)
+            i += i == s
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def looped_words(key, text):
+    """The words of a document of the contract: every tenth one, by its id's hash, goes round from some word on."""
+    w = WORD.findall(text or "")
+    if key is None or crc(key) % 10 or not w:
+        return w
+    n, g = len(w), crc(key) // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
