@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import bpe, langid, lm, mixing, near_dups, quality, runs, secret_scan, sharding, token_counts, top_k
+from studyloom.llm import bpe, langid, lm, mixing, near_dups, pii, quality, runs, secret_scan, sharding, token_counts, top_k
 from studyloom.llm.common import WORD
 from studyloom.queries.registry import Registry
 
@@ -110,3 +110,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("1000 * _most.n div -_most.q").cast("long").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@R.add("op13_personal_data")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf))
