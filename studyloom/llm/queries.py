@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm import bpe, langid, lm, mixing, near_dups, pii, quality, runs, secret_scan, sharding, token_counts, top_k
+from studyloom.llm import bpe, collocations, langid, lm, mixing, near_dups, pii, quality, runs, secret_scan, sharding, token_counts, top_k
 from studyloom.llm.common import WORD
 from studyloom.queries.registry import Registry
 
@@ -115,3 +115,30 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("op13_personal_data")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf))
+
+
+COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang
+), gram AS (
+  SELECT lang, k, w[i : i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, range(1, 6) AS t(k))
+), f AS (SELECT lang, k, p, count(*) AS c FROM gram GROUP BY lang, k, p HAVING count(*) >= 100
+), drops AS (
+  SELECT DISTINCT s.lang, s.p FROM (SELECT lang, c, unnest([p[1 : k - 1], p[2 : k]]) AS p FROM f WHERE k > 2) AS s JOIN f USING (lang, p, c)
+), cut AS (
+  SELECT x.lang, x.p, x.c AS a, l.c AS l, r.c AS r, z.n, j, (1000 * x.c::HUGEINT * z.n) // (l.c::HUGEINT * r.c) AS score
+  FROM (SELECT lang, k, p, c, unnest(range(1, k)) AS j FROM f WHERE k > 1) AS x
+  JOIN f AS l ON l.lang = x.lang AND l.p = x.p[1 : j] JOIN f AS r ON r.lang = x.lang AND r.p = x.p[j + 1 : x.k] JOIN size AS z ON z.lang = x.lang
+  WHERE NOT EXISTS (SELECT 1 FROM drops AS d WHERE d.lang = x.lang AND d.p = x.p)
+), worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1
+), placed AS (SELECT *, array_to_string(p, ' ') AS phrase FROM worst)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM placed QUALIFY rank <= 2000
+"""
+
+
+@R.add("op12_collocations", COLLOCATIONS)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf))

@@ -144,3 +144,26 @@ def looped_words(key, text):
     a = g % n
     p = 1 + (n - a) // (3 + g % 8)
     return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def collocations(docs, least, most):
+    """[(lang, rank, phrase, a, l, r, n, score)] from counts of all phrases; docs: list of (lang, text)."""
+    n, f = Counter(), defaultdict(Counter)
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, 7):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, c in f.items():
+        good = {p: a for p, a in c.items() if 2 <= len(p) <= 5 and a >= least}
+        drop = {q for p, a in good.items() for k in range(2, len(p)) for i in range(len(p) - k + 1) if (q := p[i : i + k]) in good and 100 * a >= 100 * good[q]}
+        rows = []
+        for p, a in good.items():
+            if p not in drop:
+                score, k = min((1000 * a * n[lang] // (c[p[:k]] * c[p[k:]]), k) for k in range(1, len(p)))
+                rows.append((-score, -a, " ".join(p).encode(), c[p[:k]], c[p[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, le, r, n[lang], -s) for i, (s, a, p, le, r) in enumerate(sorted(rows)[:most])]
+    return out
