@@ -26,11 +26,14 @@ def _start_difficulty(g: int) -> float:
     return _clamp(W[4] - math.exp(W[5] * (g - 1)) + 1.0)
 
 
-def review(memory: tuple, ts: int, rating: int, item: str, retention: float = 0.9) -> tuple:
-    """(stage, due, stability, difficulty, reps, lapses, last_review) after an answer at `ts` (microseconds)."""
+def review(memory: tuple, ts: int, rating: int, item: str, retention: float = 0.9, seed: int | None = None) -> tuple:
+    """(stage, due, stability, difficulty, reps, lapses, last_review) after an answer at `ts` (microseconds).
+
+    `seed`: the hash state of `<item>/` where it is known already.
+    """
     stage, _, s, d, reps, lapses, last = memory
     elapsed = 0.0 if last is None else (ts - last) / fsrs.DAY
-    unit = (fnv1a(f"{item}/{reps}") % 10000) / 9999.0
+    unit = ((fnv1a(f"{item}/{reps}") if seed is None else fnv1a(str(reps), seed)) % 10000) / 9999.0
     if stage == "New":
         options = list(W[:4])
     elif elapsed < 1:
@@ -45,7 +48,7 @@ def review(memory: tuple, ts: int, rating: int, item: str, retention: float = 0.
     def days(at_least: float, stability: float) -> float:
         x = stability / fsrs.FACTOR * (retention ** (1.0 / fsrs.DECAY) - 1.0)
         x = x if x < 3 else x * (0.95 + 0.1 * unit)
-        return min(float(fsrs.MAX_INTERVAL_DAYS), max(1.0, at_least, round(x)))
+        return min(float(fsrs.MAX_INTERVAL_DAYS), max(1.0, at_least, round(min(x, 1e9))))
 
     if stage == "New":
         difficulty = _start_difficulty(rating)

@@ -1,10 +1,13 @@
 """FSRS values and invariants; the three forms of the update agree."""
 
 import datetime as dt
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from studyloom.functions import fsrs
+from studyloom.functions.fsrs_arrays import Memories, reviewed
 from studyloom.operators import memory, review
 from studyloom.plans import views
 from studyloom.streaming import steps
@@ -66,12 +69,70 @@ def test_python_step_equals_column_fold(spark):
         assert tuple(row.memory)[4:] == m[4:]
 
 
-def test_replay_in_rounds_and_invariants(spark):
-    r = views.reviews(spark, SF)
-    whole = {(x.learner_id, x.item_id): x.memory for x in memory.replay(r).collect()}
-    rounds = {(x.learner_id, x.item_id): x.memory for x in memory.replay(r, max_log=4).collect()}
-    assert whole == rounds
-    assert all(1 <= m.difficulty <= 10 and m.stability >= 0.01 for m in whole.values())
+def folded(log, item):
+    log = sorted(log)
+    m = ("New", log[0][0], 0.0, 0.0, 0, 0, None)
+    for ts, _, rating in log:
+        m = steps.review(m, ts, rating, item)
+    return m
+
+
+def close(a, b):
+    near = lambda x, y: x == y or isinstance(x, float) and abs(x - y) < 1e-9 * max(1.0, abs(x))
+    return len(a) == len(b) and all(map(near, a, b))
+
+
+def test_array_steps_equal_single_ones():
+    rng = np.random.default_rng(2)
+    n, ts = 400, T0
+    m, seed = Memories.fresh(np.full(n, T0)), np.array([steps.fnv1a(f"{i}/") for i in range(n)])
+    rows = [NEW] * n
+    for _ in range(130):
+        ts = ts + rng.choice([fsrs.MINUTE, fsrs.DAY // 2, 3 * fsrs.DAY, 400 * fsrs.DAY], n)
+        rating = rng.integers(1, 5, n)
+        m = reviewed(m, ts, rating, seed)
+        rows = [steps.review(r, int(t), int(g), str(i)) for i, (r, t, g) in enumerate(zip(rows, ts, rating, strict=True))]
+        assert all(close(m.row(i), rows[i]) for i in range(n))
+
+
+def test_replay_over_batches_and_from_memories(spark):
+    """Items cut by batches anywhere, with and without earlier memories, null keys, answers that can't be read."""
+    r = random.Random(8)
+    log = [(k, g, dt.datetime(2026, 1, 1) + dt.timedelta(hours=r.randint(0, 90_000)), i, r.randint(1, 4)) for k in (1, 2, None) for g in ("a", "b", None) for i in range(r.choice([1, 2, 40]))]
+    bad = [(1, "a", None, 900, 3), (9, "z", dt.datetime(2026, 1, 1), 901, None), (9, "z", dt.datetime(2026, 1, 1), 902, 7)]
+    schema = "k long, g string, ts timestamp, seq long, rating int"
+    name = lambda k, g: "-".join(str(x) for x in (k, g) if x is not None)
+    micros = lambda t: int(t.replace(tzinfo=dt.UTC).timestamp() * 1_000_000 + 0.5)
+    logs = {}
+    for k, g, ts, seq, rating in log:
+        logs.setdefault((k, g), []).append((micros(ts), seq, rating))
+    want = {key: folded(v, name(*key)) for key, v in logs.items()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 3, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            d = spark.createDataFrame(log + bad, schema)
+            whole = {(x.k, x.g): tuple(x.memory) for x in memory.replay(d, ["k", "g"]).collect()}
+            assert whole.keys() == want.keys() and all(close(whole[x], want[x]) for x in want)
+            cut = F.lit("2031-01-01").cast("timestamp")
+            then = memory.replay(d.filter(F.col("ts") < cut), ["k", "g"])
+            both = {(x.k, x.g): tuple(x.memory) for x in memory.replay(d.filter(F.col("ts") >= cut), ["k", "g"], prior=then).collect()}
+            assert both.keys() == want.keys() and all(close(both[x], want[x]) for x in want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_one_item_of_fifty_thousand_reviews(spark):
+    d = spark.range(50_000).selectExpr("1L learner_id", "7 item_id", "timestamp_seconds(1700000000 + id * 3600) ts", "id seq", "cast(1 + id % 4 as int) rating")
+    plan = memory.replay(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "collect_list" not in plan
+    got = [tuple(x.memory) for x in memory.replay(d).collect()]
+    want = folded([((1_700_000_000 + i * 3600) * 1_000_000, i, 1 + i % 4) for i in range(50_000)], "1-7")
+    assert len(got) == 1 and close(got[0], want)
+
+
+def test_invariants(spark):
+    assert all(1 <= x.memory.difficulty <= 10 and x.memory.stability >= 0.01 for x in memory.replay(views.reviews(spark, SF)).collect())
 
 
 def test_queue_order_and_new_limit(spark):
