@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from studyloom.llm.common import numbered, slices, stored
+from studyloom.llm.common import numbered, slices, stored, tidily
 
 LONGEST = 5
 #: words of the first round of each language, and how many times as many the next one has
@@ -33,9 +33,9 @@ FIRST, GROWTH = 8192, 8
 #: prefixes that one pass takes to the workers: 8 MB
 CHUNK = 1_000_000
 #: positions that a worker counts at once
-HELD = 2_000_000
-#: words that a worker knows the hashes of
-KEPT = 300_000
+HELD = 600_000
+#: words that a worker knows the hashes of, bytes of text in a stored row, rows handed over at once
+KEPT, ROW_BYTES, ROWS = 200_000, 1 << 20, 50_000
 W = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 #: A-Z to a-z, a tab to a space, every stop and line end to one stop
@@ -70,7 +70,7 @@ def pieces(text: str) -> list[bytes]:
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", ROW_BYTES):
             by: dict[str, list[str]] = {}
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 if text:
@@ -87,7 +87,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def coded(docs: DataFrame, text: str, lang: str) -> DataFrame:
     d = docs.select(docs[lang].cast("string").alias("lang"), docs[text].alias("text"))
-    return d.mapInArrow(_coded, "lang string, n long, ids binary, table binary, hashes array<long>, words array<string>")
+    return d.mapInArrow(tidily(_coded), "lang string, n long, ids binary, table binary, hashes array<long>, words array<string>")
 
 
 # phrases as hashes ---------------------------------------------------------------------------------------------------
@@ -128,8 +128,9 @@ class Among:
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(language, ids, table) of each stored row; id 0 stands for hash 0, between pieces."""
     for batch in batches:
-        for lang, ids, table in zip(*(batch.column(c).to_pylist() for c in ("lang", "ids", "table")), strict=True):
-            yield lang, np.frombuffer(ids, np.int32), np.frombuffer(table, np.uint64)
+        langs, ids, tables = (batch.column(c) for c in ("lang", "ids", "table"))
+        for i in range(batch.num_rows):
+            yield langs[i].as_py(), np.frombuffer(ids[i].as_buffer(), np.int32), np.frombuffer(tables[i].as_buffer(), np.uint64)
 
 
 def phrases(lang: str, ids: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,15 +147,23 @@ def phrases(lang: str, ids: np.ndarray, table: np.ndarray, k: int) -> tuple[np.n
 COUNTS = "lang string, h long, c long"
 
 
-def counts(lang: str, h: np.ndarray) -> pa.RecordBatch:
-    u, c = np.unique(h, return_counts=True)
-    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(u), pa.string()), "h": u.view(np.int64), "c": c.astype(np.int64)})
+def handed(lang: str, h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(h), ROWS):
+        some = h[i : i + ROWS].view(np.int64)
+        yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(some)), "h": some, "c": c[i : i + ROWS].astype(np.int64)})
+
+
+def counts(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The counts of what is held, which is left empty."""
+    while held:
+        lang, parts = held.popitem()
+        yield from handed(lang, *np.unique(np.concatenate(parts), return_counts=True))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, ids, table in rows(batches):
         c = np.bincount(ids, minlength=len(table))[1:]
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "h": table[1:].view(np.int64), "c": c.astype(np.int64)})
+        yield from handed(lang, table[1:], c)
 
 
 def _grown(batches: Iterator[pa.RecordBatch], k: int, prefixes: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -167,11 +176,9 @@ def _grown(batches: Iterator[pa.RecordBatch], k: int, prefixes: np.ndarray) -> I
         held.setdefault(lang, []).append(longer(h, table[ids[at + k - 1]]))
         n += len(at)
         if n > HELD:
-            for name, hs in held.items():
-                yield counts(name, np.concatenate(hs))
-            held, n = {}, 0
-    for name, hs in held.items():
-        yield counts(name, np.concatenate(hs))
+            yield from counts(held)
+            n = 0
+    yield from counts(held)
 
 
 FOUND = f"lang string, h long, m int, {', '.join(f'{w} long' for w in W)}, c long, left_least long, left_most long, right_least long, right_most long"
@@ -192,7 +199,7 @@ def _found(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa
             first = at[order[begin]]
             signed = table.view(np.int64)
             left, right = signed[ids[at - 1]][order], signed[ids[at + k]][order]
-            out = {"lang": pa.array([lang] * len(begin), pa.string()), "h": h[order[begin]].view(np.int64), "m": pa.array([k] * len(begin), pa.int32())}
+            out = {"lang": pa.repeat(lang, len(begin)), "h": h[order[begin]].view(np.int64), "m": pa.array([k] * len(begin), pa.int32())}
             for j, w in enumerate(W):
                 out[w] = signed[ids[first + j]] if j < k else pa.nulls(len(begin), pa.int64())
             out["c"] = np.diff(begin, append=len(order))
@@ -232,20 +239,20 @@ class Corpus:
 
     def words(self) -> DataFrame:
         """(lang, w, c) of the words that occur often enough."""
-        sums = self.numbers.mapInArrow(_word_counts, COUNTS).groupBy("lang", "h").agg(F.sum("c").alias("c"))
+        sums = self.numbers.mapInArrow(tidily(_word_counts), COUNTS).groupBy("lang", "h").agg(F.sum("c").alias("c"))
         return sums.filter(F.col("c") >= self.least).withColumnRenamed("h", "w")
 
     def grown(self, k: int, prefixes: np.ndarray) -> DataFrame:
         """(lang, h, c) of the frequent phrases of k words that begin with one of the prefixes, k - 1 words long."""
         b = self.broadcast(prefixes)
-        sums = self.numbers.mapInArrow(lambda x: _grown(x, k, b.value), COUNTS).groupBy("lang", "h").agg(F.sum("c").alias("c"))
+        sums = self.numbers.mapInArrow(tidily(lambda x: _grown(x, k, b.value)), COUNTS).groupBy("lang", "h").agg(F.sum("c").alias("c"))
         return sums.filter(F.col("c") >= self.least)
 
     def found(self, wanted: np.ndarray) -> DataFrame:
         """The wanted phrases as in FOUND."""
         b = self.broadcast(wanted)
         least, most = [F.min(f"{s}_least").alias(f"{s}_least") for s in ("left", "right")], [F.max(f"{s}_most").alias(f"{s}_most") for s in ("left", "right")]
-        return self.numbers.mapInArrow(lambda x: _found(x, b.value), FOUND).groupBy("lang", "h", "m", *W).agg(F.sum("c").alias("c"), *least, *most)
+        return self.numbers.mapInArrow(tidily(lambda x: _found(x, b.value)), FOUND).groupBy("lang", "h", "m", *W).agg(F.sum("c").alias("c"), *least, *most)
 
 
 def chunks(df: DataFrame, most: int = CHUNK) -> Iterator[np.ndarray]:
