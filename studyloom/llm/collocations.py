@@ -4,7 +4,8 @@ The score of a phrase is its worst cut's 1000 a n / (l r), floored. Cut after it
 at least a, so no phrase that begins with w scores more than 1000 n / f(w): the bound of w and of all that grows from it.
 The frontier is every language's words in falling order of that bound. Each round takes a language's next words, a few
 times as many as the round before, and grows all their prefixes word by word as long as their counts reach `least`, which no
-longer phrase can pass. A language ends when its wanted number of surviving scores lies above the next word's bound; what
+longer phrase can pass. What has grown is bounded again by its last cut, and only phrases whose bound reaches the wanted
+scores, the highest first, are looked at for all their cuts and for what stands around them. A language ends when its wanted number of surviving scores lies above the next word's bound; what
 ties with that bound is still grown.
 
 The corpus is read as numbers: once, texts become hashes of words with a zero between pieces, stored in the shared folder.
@@ -29,7 +30,7 @@ from studyloom.llm.common import numbered, slices, stored, tidily
 
 LONGEST = 5
 #: words of the first round of each language, and how many times as many the next one has
-FIRST, GROWTH = 8192, 8
+FIRST, GROWTH = 16_384, 2
 #: prefixes that one pass takes to the workers: 8 MB
 CHUNK = 1_000_000
 #: positions that a worker counts at once
@@ -133,48 +134,57 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, n
             yield langs[i].as_py(), np.frombuffer(ids[i].as_buffer(), np.int32), np.frombuffer(tables[i].as_buffer(), np.uint64)
 
 
-def phrases(lang: str, ids: np.ndarray, table: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of all phrases of k words."""
-    h, at = longer(of_lang([lang]), table)[ids], np.flatnonzero(ids)
-    h = h[at]
-    for j in range(1, k):
-        on = ids[at + j] > 0
+def walk(lang: str, ids: np.ndarray, table: np.ndarray, first: Among | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, positions, hashes) of all phrases of k = 1, 2, … words, those that begin with a word of `first` where it is given."""
+    h = longer(of_lang([lang]), table)
+    begins = first(h) if first else np.ones(len(table), bool)
+    begins[0] = False
+    at = np.flatnonzero(begins[ids])
+    h = h[ids[at]]
+    yield 1, at, h
+    for k in range(1, longest):
+        on = ids[at + k] > 0
         at, h = at[on], h[on]
-        h = longer(h, table[ids[at + j]])
-    return at, h
+        h = longer(h, table[ids[at + k]])
+        yield k + 1, at, h
 
 
 COUNTS = "lang string, h long, c long"
 
 
-def handed(lang: str, h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(h), ROWS):
-        some = h[i : i + ROWS].view(np.int64)
-        yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(some)), "h": some, "c": c[i : i + ROWS].astype(np.int64)})
+GROWN = "lang string, p long, w long, c long"
 
 
-def counts(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """The counts of what is held, which is left empty."""
+def handed(lang: str, *columns: np.ndarray, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), ROWS):
+        some = [np.ascontiguousarray(c[i : i + ROWS]).view(np.int64) for c in columns]
+        yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(some[0])), **dict(zip(names, some, strict=True))})
+
+
+def counts(held: dict[str, list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    """Counts of the (phrase, prefix, word) that are held, by phrase; nothing is held afterwards."""
     while held:
         lang, parts = held.popitem()
-        yield from handed(lang, *np.unique(np.concatenate(parts), return_counts=True))
+        h, p, w = (np.concatenate(c) for c in zip(*parts, strict=True))
+        _, at, c = np.unique(h, return_index=True, return_counts=True)
+        yield from handed(lang, p[at], w[at], c, names=("p", "w", "c"))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, ids, table in rows(batches):
         c = np.bincount(ids, minlength=len(table))[1:]
-        yield from handed(lang, table[1:], c)
+        yield from handed(lang, table[1:], c, names=("h", "c"))
 
 
-def _grown(batches: Iterator[pa.RecordBatch], k: int, prefixes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of k words whose first k - 1 are among the prefixes."""
-    among, held, n = Among(prefixes), {}, 0
+def _grown(batches: Iterator[pa.RecordBatch], k: int, first: np.ndarray, prefixes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of k words whose first k - 1, beginning with a word of `first`, are among the prefixes."""
+    begins, among, held, n = Among(first), Among(prefixes), {}, 0
     for lang, ids, table in rows(batches):
-        at, h = phrases(lang, ids, table, k - 1)
+        *_, (_, at, h) = walk(lang, ids, table, begins, k - 1)
         on = among(h) & (ids[at + k - 1] > 0)
-        at, h = at[on], h[on]
-        held.setdefault(lang, []).append(longer(h, table[ids[at + k - 1]]))
-        n += len(at)
+        p, w = h[on], table[ids[at[on] + k - 1]]
+        held.setdefault(lang, []).append((longer(p, w), p, w))
+        n += len(p)
         if n > HELD:
             yield from counts(held)
             n = 0
@@ -184,13 +194,12 @@ def _grown(batches: Iterator[pa.RecordBatch], k: int, prefixes: np.ndarray) -> I
 FOUND = f"lang string, h long, m int, {', '.join(f'{w} long' for w in W)}, c long, left_least long, left_most long, right_least long, right_most long"
 
 
-def _found(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, first: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """The wanted phrases with their words, counts, and the least and greatest hash before and after them, 0 for none."""
-    among = Among(wanted)
+    among, begins = Among(wanted), None if first is None else Among(first)
     for lang, ids, table in rows(batches):
-        for k in range(2, LONGEST + 1):
-            at, h = phrases(lang, ids, table, k)
-            on = among(h)
+        for k, at, h in walk(lang, ids, table, begins, LONGEST):
+            on = among(h) if k > 1 else np.zeros(len(h), bool)
             at, h = at[on], h[on]
             if not len(at):
                 continue
@@ -242,17 +251,23 @@ class Corpus:
         sums = self.numbers.mapInArrow(tidily(_word_counts), COUNTS).groupBy("lang", "h").agg(F.sum("c").alias("c"))
         return sums.filter(F.col("c") >= self.least).withColumnRenamed("h", "w")
 
-    def grown(self, k: int, prefixes: np.ndarray) -> DataFrame:
-        """(lang, h, c) of the frequent phrases of k words that begin with one of the prefixes, k - 1 words long."""
-        b = self.broadcast(prefixes)
-        sums = self.numbers.mapInArrow(tidily(lambda x: _grown(x, k, b.value)), COUNTS).groupBy("lang", "h").agg(F.sum("c").alias("c"))
-        return sums.filter(F.col("c") >= self.least)
+    def grown(self, k: int, first: np.ndarray, prefixes: np.ndarray) -> DataFrame:
+        """(lang, h, p, w, c) of the frequent phrases of k words whose prefix p, k - 1 words long, is one of `prefixes`."""
+        b = self.broadcast((first, prefixes))
+        sums = self.numbers.mapInArrow(tidily(lambda x: _grown(x, k, *b.value)), GROWN).groupBy("lang", "p", "w").agg(F.sum("c").alias("c"))
+        return sums.filter(F.col("c") >= self.least).mapInArrow(_named, f"{GROWN}, h long")
 
-    def found(self, wanted: np.ndarray) -> DataFrame:
-        """The wanted phrases as in FOUND."""
-        b = self.broadcast(wanted)
+    def found(self, wanted: np.ndarray, first: np.ndarray | None = None) -> DataFrame:
+        """The wanted phrases as in FOUND; all of them begin with a word of `first` where it is given."""
+        b = self.broadcast((wanted, first))
         least, most = [F.min(f"{s}_least").alias(f"{s}_least") for s in ("left", "right")], [F.max(f"{s}_most").alias(f"{s}_most") for s in ("left", "right")]
-        return self.numbers.mapInArrow(tidily(lambda x: _found(x, b.value)), FOUND).groupBy("lang", "h", "m", *W).agg(F.sum("c").alias("c"), *least, *most)
+        return self.numbers.mapInArrow(tidily(lambda x: _found(x, *b.value)), FOUND).groupBy("lang", "h", "m", *W).agg(F.sum("c").alias("c"), *least, *most)
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        p, w = (b.column(c).to_numpy().view(np.uint64) for c in ("p", "w"))
+        yield b.append_column("h", pa.array(longer(p, w).view(np.int64)))
 
 
 def chunks(df: DataFrame, most: int = CHUNK) -> Iterator[np.ndarray]:
@@ -268,19 +283,17 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def scored(corpus: Corpus, found: DataFrame, words: DataFrame, n: DataFrame) -> DataFrame:
-    """`found` with l, r, n and score: those of the cut that scores least, the first of such."""
+def scored(corpus: Corpus, found: DataFrame, known: DataFrame, n: DataFrame) -> DataFrame:
+    """`found` with l, r, n and score: those of the cut that scores least, the first of such. `known`: counts (lang, h, c) of
+    all their prefixes and words; rests that are not there are counted."""
     cuts = stored(found.select("lang", "h", "m", *W).mapInArrow(_cuts, "lang string, h long, k int, head long, tail long, tail_words int"), "cuts")
-    known = union([words.select("lang", "h", "c"), found.select("lang", "h", "c")])
     asked = cuts.filter("tail_words > 1").select("lang", F.col("tail").alias("h")).distinct().join(known.select("lang", "h"), ["lang", "h"], "left_anti")
     more = [stored(corpus.found(part).select("lang", "h", "c"), "rests") for part in chunks(stored(asked, "asked"))]
     known = union([known, *more]).distinct()
     head, tail = (known.select("lang", F.col("h").alias(p), F.col("c").alias(c)) for p, c in (("head", "l"), ("tail", "r")))
-    big = lambda c: F.col(c).cast("decimal(20,0)")
     parts = cuts.join(head, ["lang", "head"]).join(tail, ["lang", "tail"]).join(found.select("lang", "h", F.col("c").alias("a")), ["lang", "h"]).join(n, "lang")
     # decimals of 38 digits; the quotient is at most 1000 n / f
-    parts = parts.select("lang", "h", "k", "l", "r", "n", (big("a") * F.lit(1000).cast("decimal(4,0)") * big("n")).cast("decimal(38,0)").alias("_x"), (big("l") * big("r")).cast("decimal(38,0)").alias("_y"))
-    parts = parts.withColumn("score", F.expr("_x div _y"))
+    parts = parts.withColumn("score", F.expr(quotient("a", "cast(l as decimal(19,0)) * cast(r as decimal(19,0))")))
     worst = parts.groupBy("lang", "h").agg(F.min(F.struct("score", "k", "l", "r", "n")).alias("_cut"))
     d = found.join(worst, ["lang", "h"])
     return d.select("lang", "h", "m", *W, F.col("c").alias("a"), "left_least", "left_most", "right_least", "right_most", *[F.col(f"_cut.{c}").alias(c) for c in ("l", "r", "n", "score")])
@@ -290,21 +303,48 @@ def same(side: str):
     return (F.col(f"{side}_least") == F.col(f"{side}_most")) & (F.col(f"{side}_most") != 0)
 
 
-def grown_from(corpus: Corpus, batch: DataFrame, words: DataFrame, n: DataFrame) -> list[DataFrame]:
-    """The surviving phrases that begin with a word of `batch`, with their scores."""
-    out = []
+def quotient(a: str, b: str) -> str:
+    """1000 a n div b, exactly."""
+    return f"(cast({a} as decimal(20,0)) * cast(1000 as decimal(4,0)) * cast(n as decimal(20,0))) div ({b})"
+
+
+def survivors(corpus: Corpus, pool: DataFrame, known: DataFrame, n: DataFrame, first: np.ndarray) -> list[DataFrame]:
+    """The phrases of `pool` that no longer one replaces, with their scores."""
+    found = [stored(corpus.found(part, first), "found") for part in chunks(pool)]
+    if not found:
+        return []
+    return [stored(scored(corpus, union(found), known, n).filter(~((F.col("m") < LONGEST) & (same("left") | same("right")))), "scored")]
+
+
+def grown_from(corpus: Corpus, batch: DataFrame, words: DataFrame, n: DataFrame, done: list[DataFrame], most: int) -> list[DataFrame]:
+    """The surviving phrases that begin with a word of `batch` and can be among the first `most` of their language.
+
+    A phrase's last cut is known from its growth and bounds its score. The phrases of highest bounds are looked at first;
+    of the others, those whose bound reaches the last wanted score that is then known.
+    """
+    spark, out = batch.sparkSession, []
+    alone = words.select("lang", "w", F.col("c").alias("wc"))
     for first in chunks(batch):
-        levels, prefixes = [], [first]
+        levels, prefixes, parents = [], [first], words.select("lang", F.col("h").alias("p"), F.col("c").alias("pc"))
         for k in range(2, LONGEST + 1):
-            parts = [stored(corpus.grown(k, p), f"grown{k}") for p in prefixes]
+            parts = [stored(corpus.grown(k, first, p), f"grown{k}") for p in prefixes]
             if not parts:
                 break
-            level = union(parts)
-            levels.append(level)
-            prefixes = chunks(level)
-        found = [stored(corpus.found(part), "found") for part in chunks(stored(union(levels).select("lang", "h"), "wanted"))]
-        if found:
-            out.append(stored(scored(corpus, union(found), words, n).filter(~((F.col("m") < LONGEST) & (same("left") | same("right")))), "scored"))
+            bounded = union(parts).join(parents, ["lang", "p"]).join(alone, ["lang", "w"]).join(n, "lang")
+            bound = F.expr(quotient("c", "cast(pc as decimal(19,0)) * cast(wc as decimal(19,0))"))
+            levels.append(stored(bounded.select("lang", "h", "c", bound.alias("bound")), f"level{k}"))
+            prefixes = chunks(levels[-1])
+            parents = levels[-1].select("lang", F.col("h").alias("p"), F.col("c").alias("pc"))
+        if not levels:
+            continue
+        pool = union(levels)
+        known = union([words.select("lang", "h", "c"), pool.select("lang", "h", "c")])
+        best = Window.partitionBy("lang").orderBy(F.col("bound").desc(), "h")
+        early = stored(pool.withColumn("_i", F.row_number().over(best)).filter(F.col("_i") <= 2 * most).select("lang", "h"), "early")
+        out += survivors(corpus, early, known, n, first)
+        reached = stored(settled(spark, done + out, most), "reached")
+        late = pool.join(early, ["lang", "h"], "left_anti").join(reached, "lang", "left").filter("bound >= coalesce(reached, 0)").select("lang", "h")
+        out += survivors(corpus, stored(late, "late"), known, n, first)
     return out
 
 
@@ -327,7 +367,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     begin, end = 0, first
     while True:
         batch = words.join(states.select("lang", "reached"), "lang").filter((F.col("place") >= begin) & (F.col("place") < end) & (F.col("bound") >= F.col("reached")))
-        done += grown_from(corpus, stored(batch.select("lang", "h"), "batch"), words, n)
+        done += grown_from(corpus, stored(batch.select("lang", "h"), "batch"), words, n, done, most)
         # a language goes on while a word is left whose bound its last wanted score doesn't pass
         ahead = words.filter(F.col("place") >= end).groupBy("lang").agg(F.max("bound").alias("bound"))
         states = states.select("lang").join(ahead, "lang").join(settled(spark, done, most), "lang", "left")
