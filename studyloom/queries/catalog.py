@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from studyloom.functions import titles as N
 from studyloom.operators import catalog as C
+from studyloom.operators import postings as I
 from studyloom.plans import views
 from studyloom.queries.registry import Registry
+from studyloom.streaming.streams import shared_folder
 
 R = Registry()
 
@@ -162,6 +164,17 @@ def catalogue_search(spark, sf):
     return C.search(works(spark, sf), "the whing")
 
 
+@R.add("catalogue_index_search", f"""WITH {WORKS}, w AS (SELECT key, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS ws FROM works),
+t AS (SELECT key, len(list_filter(ws, lambda x: x = 'and')) AS a, len(list_filter(ws, lambda x: x = 'of')) AS b, len(list_filter(ws, lambda x: x = 'the')) AS c FROM w),
+s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc, count(*) FILTER (a > 0 AND b > 0 AND c > 0) AS total FROM t)
+SELECT key, round(a * ln(n / da) + b * ln(n / db) + c * ln(n / dc), 6) AS score, total FROM t, s WHERE a > 0 AND b > 0 AND c > 0 ORDER BY score DESC, key LIMIT 20 OFFSET 20""")
+def catalogue_index_search(spark, sf):
+    """The second page of works holding three words, from a stored index of the whole catalogue."""
+    path = shared_folder(spark, "catalogue-index")
+    I.write_index(works(spark, sf), path)
+    return I.Index(spark, path).search("the of and", page=2)
+
+
 _LOOK = """CASE doc_id % 6 WHEN 0 THEN concat('10.1234/d', doc_id - doc_id % 4) WHEN 1 THEN concat('arXiv:', lpad(cast(doc_id % 1200 + 800 AS STRING), 4, '0'), '.', lpad(cast(doc_id % 99999 AS STRING), 5, '0'))
   WHEN 2 THEN concat('https://www.x.org/a/file', doc_id, '.tar.pdf?x=1') WHEN 3 THEN concat('10.9/none', doc_id) WHEN 4 THEN concat('arXiv:2101.', 10000 + doc_id % 9) ELSE 'plain words' END"""
 _LOOK_DUCK = _LOOK.replace("STRING", "VARCHAR")

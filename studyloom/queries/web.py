@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from studyloom.functions import web as W
+from studyloom.operators import web as O
 from studyloom.plans import views
 from studyloom.queries.registry import Registry
 from studyloom.queries.text import sql_tidy
@@ -70,8 +71,36 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord,
 FROM b WHERE regexp_matches(text, '[\\p{{L}}\\p{{Nd}}]')""")
 def web_blocks(spark, sf):
     """Blocks of every page's article."""
-    b = _roots(spark, sf).select("page_id", F.posexplode(W.page_blocks(F.col("root"))).alias("ord", "b"))
-    return b.select("page_id", "ord", "b.kind", "b.text")
+    return O.web_blocks(pages(spark, sf), ["page_id"]).select("page_id", "ord", "kind", "text")
+
+
+# what the article of each page begins with: every kind of block, and what must not become one
+_TYPED = """replace(html, '<article>', concat('<article><h2>Part ', page_id, '</h2><ul class="langs"><li><a href="/de">Deutsch</a></li><li><a href="/fr">Français</a></li><li><a href="/fi">Suomi</a></li></ul>',
+  '<div><p>The value of <span style="display:none"><math alttext="{\\\\displaystyle z_{', page_id, '}}"></math> stray</span><img class="mwe-math-fallback-image-inline" alt="z" src="x.svg"> is H<sub>2</sub>O.<sup class="reference"><a href="#c1">[1]</a></sup> It sums<sup><a href=\\'#n\\'>2</a></sup> to 1 (, ).</p></div>',
+  '<p><math display="block" alttext="a < b_', page_id, '"></math></p><div hidden><p>unseen</p></div>',
+  '<figure><img src="f', page_id, '.png" alt="plot"><img data-src="/g.png" src="data:image/gif;base64,R0"><figcaption>Figure 2: The <i>function</i>.</figcaption></figure>',
+  '<table><caption>Table 1: Values.</caption><tr><th>z</th><th>p<sup>2</sup></th></tr><tr><td>a cell of prose longer than thirty signs ', page_id, '</td><td><math alttext="x_1"></math> &amp; 1</td></tr></table>',
+  '<table class="ltx_equation"><tr><td><math alttext="c = d" display="block"></math></td><td class="ltx_eqn_eqno">(', page_id % 9, ')</td></tr></table>',
+  '<table><tr><td><p>left side</p></td><td><table><tr><td>u</td><td>v</td></tr><tr><td>3</td><td>4</td></tr></table></td></tr></table>',
+  '<ol><li><p>first item</p></li><li>second <b>item</b></ol><pre>if x:
+  y = ', page_id, ' &lt; 2</pre><figure><figure><table><tr><td>7</td><td>8</td></tr><tr><td>9</td><td>0</td></tr></table></figure><figcaption>Table 2: Inside.</figcaption></figure>',
+  '<p>With <img src=\\'p.png\\' alt=\\'A photo\\'> in the text.</p><p><a href="/a">one</a> <a href="/b">two</a> <a href="/c">three</a></p>'))"""
+_TYPED_SQL = """SELECT page_id, x.ord, x.kind, x.level, x.text, x.caption, x.src, x.number, x.rows FROM pages, LATERAL (VALUES
+  (0, 'heading', 2, concat('Part ', page_id), NULL, NULL, NULL, NULL), (1, 'paragraph', NULL, concat('The value of $z_{', page_id, '}$ is H_{2}O. It sums to 1.'), NULL, NULL, NULL, NULL),
+  (2, 'math', NULL, concat('a < b_', page_id), NULL, NULL, NULL, NULL), (3, 'image', NULL, 'plot', 'Figure 2: The function.', concat('f', page_id, '.png'), NULL, NULL),
+  (4, 'image', NULL, '', NULL, '/g.png', NULL, NULL), (5, 'table', NULL, '', 'Table 1: Values.', NULL, NULL, concat('z|p^{2}/a cell of prose longer than thirty signs ', page_id, '|$x_1$ & 1')),
+  (6, 'math', NULL, 'c = d', NULL, NULL, CAST(page_id % 9 AS VARCHAR), NULL), (7, 'paragraph', NULL, 'left side', NULL, NULL, NULL, NULL), (8, 'table', NULL, '', NULL, NULL, NULL, 'u|v/3|4'),
+  (9, 'item', NULL, 'first item', NULL, NULL, NULL, NULL), (10, 'item', NULL, 'second item', NULL, NULL, NULL, NULL), (11, 'code', NULL, concat('if x:', chr(10), '  y = ', page_id, ' < 2'), NULL, NULL, NULL, NULL),
+  (12, 'table', NULL, '', 'Table 2: Inside.', NULL, NULL, '7|8/9|0'), (13, 'paragraph', NULL, 'With in the text.', NULL, NULL, NULL, NULL), (14, 'image', NULL, 'A photo', NULL, 'p.png', NULL, NULL)
+) AS x(ord, kind, level, text, caption, src, number, rows)"""
+
+
+@R.add("web_blocks_typed", f"""WITH plain AS ({R.sql["web_blocks"]}), typed AS ({_TYPED_SQL})
+SELECT page_id, ord + 15 AS ord, kind, CASE WHEN kind = 'heading' THEN 1 END AS level, text, NULL AS caption, NULL AS src, NULL AS number, NULL AS rows FROM plain UNION ALL SELECT * FROM typed""")
+def web_blocks_typed(spark, sf):
+    """Pages whose articles begin with every kind of block, each at its place."""
+    b = O.web_blocks(pages(spark, sf).select("page_id", F.expr(_TYPED).alias("html")), ["page_id"])
+    return b.withColumn("rows", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/"))
 
 
 _ELEMENT = r"(?is)<(?:ul|p|div)\b[^>]*>.*?</(?:ul|p|div)\s*>"

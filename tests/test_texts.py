@@ -10,6 +10,7 @@ from studyloom.functions import replies as Y
 from studyloom.functions import text as T
 from studyloom.functions import titles as N
 from studyloom.functions import web as W
+from studyloom.operators import web as WO
 from studyloom.operators import markdown as D
 from studyloom.operators import structure as S
 from studyloom.operators import study as P
@@ -86,7 +87,7 @@ def test_web(spark):
         "&lt;x&gt;&#33; (, ) here" + " and more" * 60 + "</p></article></div><footer>Copyright</footer></body></html>"
     )
     assert one(spark, html, W.page_title) == "Softmax"
-    blocks = one(spark, html, lambda h: W.page_blocks(W.article_root(W.strip_furniture(h))))
+    blocks = web_blocks(spark, html)
     assert [b.kind for b in blocks] == ["heading", "paragraph"] and blocks[1].text.startswith("The softmax maps <x>! here")
 
 
@@ -137,3 +138,30 @@ def test_markdown_fences_and_formulas_lose_nothing(spark):
         (1, "paragraph", "intro"), (1, "code", "~~~\ncode\n``"), (1, "heading", "After"), (1, "math", "a\nb \\tag{3}"), (1, "paragraph", "tail text"), (1, "code", "x\n~~~\ny"),
         (1, "math", "c \\text{ where}"), (1, "paragraph", "$$ never closed"), (1, "paragraph", "last"), (1, "code", "open end"), (2, "paragraph", "plain"),
     ]
+
+
+def web_blocks(spark, html):
+    return WO.web_blocks(spark.createDataFrame([(1, html)], "page_id int, html string"), ["page_id"]).orderBy("ord").collect()
+
+
+def test_web_blocks_at_their_places(spark):
+    page = r"""<div class="mw-body"><h1>Softmax</h1><ul><li><a href="/x">Deutsch</a></li><li><a href="/y">Suomi</a></li><li><a href="/z">Eesti</a></li></ul>
+<p>Of <span style='display: none'><math><annotation encoding='application/x-tex'>{\displaystyle z_{i}}</annotation></math> stray</span> and<sup class='reference'><a href='#c'>[1]</a></sup> on.</p>
+<table><tr><td>a</td><td><table><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table></td></tr></table><p>open paragraph<table class=eqn><tr><td><math alttext="p &lt; q"></math></td><td>(A.1)</td></tr></table>
+<figure><figcaption>Only words</figcaption></figure><figure><pre>x = 1</pre><figcaption>Listing 1</figcaption></figure><figure><img src=x width="10" height="10"><figcaption>Icon</figcaption></figure></div>"""
+    got = [(b.kind, b.text, b.caption, b.number, b.rows) for b in web_blocks(spark, page)]
+    assert got == [
+        ("heading", "Softmax", None, None, None), ("paragraph", "Of $z_{i}$ and on.", None, None, None), ("paragraph", "a", None, None, None), ("table", "", None, None, [["1", "2"], ["3", "4"]]),
+        ("paragraph", "open paragraph", None, None, None), ("math", "p < q", None, "A.1", None), ("paragraph", "Only words", None, None, None), ("code", "x = 1", "Listing 1", None, None), ("paragraph", "Icon", None, None, None),
+    ]
+    assert web_blocks(spark, None) == [] and web_blocks(spark, "") == [] and [b.text for b in web_blocks(spark, "a < b")] == ["a"]
+    many = "<table><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table>" * 300
+    assert [b.kind for b in web_blocks(spark, many + "<p>end</p>")] == ["table"] * 300 + ["paragraph"]
+
+
+def test_elements_of_a_page_end_at_their_own_tags(spark):
+    nested = "<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr></table><table>x</table>"
+    assert one(spark, nested, W.tables) == [nested[: nested.index("<table>x")], "<table>x</table>"]
+    figures = "<figure><figure><img src='a.png'></figure><img src='b.png'><figcaption>Both</figcaption></figure><img src=\"c.png\" alt='it\"s'>"
+    assert [(f.src, f.caption, f.alt) for f in one(spark, figures, W.page_figures)] == [("a.png", "Both", ""), ("b.png", "", ""), ("c.png", "", 'it"s')]
+    assert one(spark, "<head><meta name='citation_title' content='A \"b\" c'></head>", W.page_title) == 'A "b" c'
