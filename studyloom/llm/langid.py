@@ -21,10 +21,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import slices, stored
+from studyloom.llm.common import slices, stored, tidily
 
 DIGIT = re.compile(r"\d")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: a document is rejected at twice the spreads above the usual cross-entropy that one in a hundred of the held-out documents
+#: has, and at no fewer than these
+REJECT = 10.0
+#: the least share of a text's letters that words without digits must hold to be judged alone
+PLAIN = 0.1
+
+
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text; signs such as ² and ½, which a word pattern takes, are none."""
+    runs = LETTERS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [x for r in runs for x in "".join(c if c.isalpha() else " " for c in r).split()]
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 KEPT_WORDS = 300_000
 KEPT_LENGTH = 48
@@ -87,6 +101,8 @@ class Model:
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     per_char: np.ndarray | None = None
+    #: spreads above the mean at which a document is rejected
+    reject: float = REJECT
     name: str = ""
 
     def bits(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,23 +199,37 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.at = model, {}
-        self.table = np.zeros((0, len(model.langs) + 1))
+        self.table = np.zeros((0, 2 * len(model.langs) + 2))
 
     def rows_of(self, tokens: list[str]) -> np.ndarray:
+        """Bits in each language and characters of each token; those of tokens with a digit stand in the second half."""
         runs, owner = [], []
         for i, t in enumerate(tokens):
-            for r in LETTERS.findall(t.lower()):
+            for r in letter_runs(t.lower()):
                 runs.append(r)
                 owner.append(i)
         bits, n = self.model.bits(runs)
-        out = np.zeros((len(tokens), len(self.model.langs) + 1))
+        wide = len(self.model.langs) + 1
+        out = np.zeros((len(tokens), 2 * wide))
         if runs:
-            np.add.at(out, np.array(owner), np.column_stack([bits, n]))
-        out[[DIGIT.search(t) is not None for t in tokens]] *= DIGITS_WEIGH
+            np.add.at(out[:, :wide], np.array(owner), np.column_stack([bits, n]))
+        mixed = np.array([DIGIT.search(t) is not None for t in tokens], bool)
+        out[mixed, wide:] = out[mixed, :wide]
+        out[mixed, :wide] = 0
         return out
 
     def texts(self, texts: list[str]) -> np.ndarray:
-        """Of each text the bits in each language, and its counted characters."""
+        """Of each text the bits in each language, and its counted characters.
+
+        Tokens with a digit (ids, keys, addresses) don't count beside words, but do where words hold less than PLAIN of the
+        letters: in lists of such tokens, and in scripts without spaces, where a token is a whole line.
+        """
+        out = self.sums(texts)
+        wide = len(self.model.langs) + 1
+        words, others = out[:, :wide], out[:, wide:]
+        return words + np.where((words[:, -1] < PLAIN * (words[:, -1] + others[:, -1]))[:, None], others, 0.0)
+
+    def sums(self, texts: list[str]) -> np.ndarray:
         if len(self.at) > KEPT_WORDS:
             self.at, self.table = {}, self.table[:0]
         split = [t.split() for t in texts]
@@ -255,7 +285,7 @@ def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
         for part in slices(batch, "text"):
             seen: dict[tuple[str, str], int] = defaultdict(int)
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                for r in LETTERS.findall(text.lower()):
+                for r in letter_runs(text.lower()):
                     p = padded(r, order)
                     for i in range(len(r) + 1):
                         seen[lang, p[i : i + order]] += 1
@@ -316,13 +346,12 @@ def calibrated(model: Model, langs: list[str], bits: np.ndarray, chars: np.ndarr
             # medians: mislabelled and odd documents must not widen what is usual
             model.mean[i] = np.median(own)
             model.spread[i] = max(0.15, 1.4826 * np.median(np.abs(own - model.mean[i])))
+    if len(truth):
+        usual = np.sqrt(model.spread[truth] ** 2 + model.per_char[truth] / np.maximum(chars, 1))
+        model.reject = max(REJECT, 2 * float(np.quantile((ce - model.mean[truth]) / usual, 0.99)))
     return model
 
 
-#: spreads above the usual cross-entropy at which a document is rejected
-REJECT = 10.0
-#: tokens with a digit are hardly language: they decide only where there is nothing else
-DIGITS_WEIGH = 1e-6
 
 
 def _identify(batches: Iterator[pa.RecordBatch], shared, text: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
@@ -340,12 +369,12 @@ def _identify(batches: Iterator[pa.RecordBatch], shared, text: str, keep: tuple[
             posterior = np.exp(z[np.arange(len(texts)), best] - np.logaddexp.reduce(z, axis=1))
             usual = np.sqrt(m.spread[best] ** 2 + m.per_char[best] / some[:, 0])
             far = (ce[np.arange(len(texts)), best] - m.mean[best]) / usual
-            score = posterior / (1 + np.exp(np.clip(far - REJECT, -50, 50)))
+            score = posterior / (1 + np.exp(np.clip(far - m.reject, -50, 50)))
             none = chars == 0
             lang = [UNDECIDED if n else m.langs[b] for n, b in zip(none, best, strict=True)]
             yield pa.RecordBatch.from_pydict({
                 **{c: part.column(c) for c in keep}, "lang_pred": pa.array(lang, pa.string()), "score": pa.array(np.where(none, 0.0, score)),
-                "cross_entropy": pa.array(np.where(none, np.nan, ce[np.arange(len(texts)), best]), from_pandas=True), "rejected": pa.array(none | (far > REJECT)),
+                "cross_entropy": pa.array(np.where(none, np.nan, ce[np.arange(len(texts)), best]), from_pandas=True), "rejected": pa.array(none | (far > m.reject)),
             })
     _scorers.clear()  # workers go on to other work; the words met here would stay with them
 
@@ -355,7 +384,7 @@ def identified(docs: DataFrame, model: Model | None, key: str = "doc_id", text:
     to carry in place of the key.
 
     `und`, score 0 and rejected for a null text, one without a letter, and all if there is no model. score: the posterior
-    of the language named, lowered as the cross-entropy leaves what is usual for it; rejected beyond REJECT spreads, where
+    of the language named, lowered as the cross-entropy leaves what is usual for it; rejected beyond `Model.reject` spreads, where
     the row still names its nearest language. Ties go to the first language in order. Repeated rows are alike; other
     columns are not looked at. Nothing is shuffled.
     """
@@ -365,7 +394,7 @@ def identified(docs: DataFrame, model: Model | None, key: str = "doc_id", text:
         return read.select(*keep, F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double, cross_entropy double, rejected boolean"
-    return read.mapInArrow(lambda b: _identify(b, shared, text, keep), schema)
+    return read.mapInArrow(tidily(lambda b: _identify(b, shared, text, keep)), schema)
 
 
 def fold(key: Column, folds: int = 5) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studyloom.llm.common import WordHashes, lower_words, slices, stored
+from studyloom.llm.common import WordHashes, lower_words, slices, stored, tidily
 
 BANDS, BAND_ROWS = 32, 4
 HASHES = 128
@@ -119,6 +119,11 @@ def likely(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
+def low_bytes(minima: np.ndarray) -> np.ndarray:
+    """What is compared of each minimum: its lowest byte, which is even where the highest is 0 for every long text."""
+    return (minima & np.uint32(255)).astype(np.uint8)
+
+
 def digest_of(words: np.ndarray) -> bytes:
     return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
@@ -130,7 +135,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             sets = [hasher(lower_words(t)) if t else np.zeros(0, np.uint64) for t in part.column("text").to_pylist()]
             some = [s for s in sets if len(s)]
             minima = signatures(some) if some else np.zeros((0, HASHES), np.uint32)
-            keys, sig = band_keys(minima), (minima >> np.uint32(24)).astype(np.uint8)
+            keys, sig = band_keys(minima), low_bytes(minima)
             row = iter(range(len(some)))
             at = [next(row) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_pydict({
@@ -321,7 +326,7 @@ def clouds_of(classes: DataFrame, threshold: float, block: int) -> DataFrame:
             star = open_.join(centre, "band").filter("group <> c.group").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
         pairs = star.filter("a <> b").distinct()
         both = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        found.append(stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda x: _survivors(x, threshold), "a long, b long"), "survivors"))
+        found.append(stored(both.select("a", "b", "sig_a", "sig_b").mapInArrow(tidily(lambda x: _survivors(x, threshold)), "a long, b long"), "survivors"))
         clouds = stored(components(union(found)), "clouds")
 
     open_ = stored(grouped(members.filter("n > 2"), clouds), "open")
@@ -333,7 +338,7 @@ def clouds_of(classes: DataFrame, threshold: float, block: int) -> DataFrame:
     x, y = (blocks.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "groups", "sigs")]) for s in "ab")
     meet = x.join(y, "band").filter("block_a <= block_b").withColumn("same", F.col("block_a") == F.col("block_b"))
     rest = meet.select("same", *[f"{c}_{s}" for s in "ab" for c in ("ids", "groups", "sigs")])
-    found.append(stored(rest.mapInArrow(lambda b: _pairs_within(b, threshold), "a long, b long").distinct(), "rest"))
+    found.append(stored(rest.mapInArrow(tidily(lambda b: _pairs_within(b, threshold)), "a long, b long").distinct(), "rest"))
     return components(union(found))
 
 
@@ -349,7 +354,7 @@ def links_within(clouds: DataFrame, classes: DataFrame, texts: DataFrame, width:
     percent = round(threshold * 100)
     wanted = clouds.withColumnRenamed("component", "cloud").join(classes.select("id", "digest"), "id")
     shared = texts.sparkSession.sparkContext.broadcast(held(clouds.select("id")))
-    sets = texts.mapInArrow(lambda b: _sets(b, width, shared), "id long, digest binary, n long, words binary")
+    sets = texts.mapInArrow(tidily(lambda b: _sets(b, width, shared)), "id long, digest binary, n long, words binary")
     sets = sets.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("id", "n", "words", "cloud")
     sets = stored(sets, "sets")
     size = sets.groupBy("cloud").agg(F.ceil(F.sum(8 * F.col("n") + 64) / F.lit(block_bytes)).cast("int").alias("blocks"))
@@ -358,7 +363,7 @@ def links_within(clouds: DataFrame, classes: DataFrame, texts: DataFrame, width:
     place = F.when(F.col("id") == F.col("cloud"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     d = d.withColumn("block", F.explode(place))
     dealt = d.select("cloud", "block", "id", "words").repartition("cloud", "block").sortWithinPartitions("cloud", "block", "id")
-    inside = stored(dealt.mapInArrow(lambda b: _within(b, percent), "a long, b long"), "links")
+    inside = stored(dealt.mapInArrow(tidily(lambda b: _within(b, percent)), "a long, b long"), "links")
 
     # clouds of several blocks
     groups = components(inside)
@@ -371,7 +376,7 @@ def links_within(clouds: DataFrame, classes: DataFrame, texts: DataFrame, width:
     asks = far.join(out_size, "cloud").withColumn("out_block", F.pmod(F.xxhash64("id"), F.col("out_blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("far", F.lit(True))
     rows = large.join(out_size, "cloud").withColumn("out_block", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1))).withColumn("far", F.lit(False))
     dealt = asks.select(*columns).union(rows.select(*columns)).repartition("cloud", "out_block", "block").sortWithinPartitions("cloud", "out_block", "block", "id")
-    return inside.union(stored(dealt.mapInArrow(lambda b: _across(b, percent), "a long, b long"), "links"))
+    return inside.union(stored(dealt.mapInArrow(tidily(lambda b: _across(b, percent)), "a long, b long"), "links"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, block: int = 256, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -383,7 +388,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     key are one node of the graph; each keeps its own n_shingles. Other columns are not looked at; an empty table gives none.
     """
     d = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    sets = stored(d.mapInArrow(lambda b: _sketch(b, width), "id long, n_shingles long, digest binary, sig binary, bands array<long>"), "shingles")
+    sets = stored(d.mapInArrow(tidily(lambda b: _sketch(b, width)), "id long, n_shingles long, digest binary, sig binary, bands array<long>"), "shingles")
     usable = sets.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
     classes = stored(usable.groupBy("digest").agg(F.min(F.struct("id", "sig", "bands")).alias("c")).select("digest", "c.*"), "classes")
     clouds = stored(clouds_of(classes, threshold, block), "clouds")

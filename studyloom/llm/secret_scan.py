@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from studyloom.llm.common import slices
+from studyloom.llm.common import slices, tidily
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -290,7 +290,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(_scan, schema).withColumnRenamed("id", key)
+    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(tidily(_scan), schema).withColumnRenamed("id", key)
 
 
 def _redact(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -303,4 +303,4 @@ def _redact(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
 
 def redacted_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs`, all rows and columns, with each stretch of `text` that spans cover put as one mark; null stays null."""
-    return docs.mapInArrow(lambda b: _redact(b, text), docs.schema)
+    return docs.mapInArrow(tidily(lambda b: _redact(b, text)), docs.schema)
