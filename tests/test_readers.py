@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studyloom.functions import headings as H
+from studyloom.functions import replies as Y
 from studyloom.functions import text as T
 from studyloom.operators import markdown as M
 from studyloom.operators import study as P
@@ -58,3 +59,12 @@ def test_citations(spark):
 def test_markdown_lines(spark, reader, lines):
     got = read(spark, list(lines), reader)
     assert {k: tuple(v) if isinstance(v, tuple) else v for k, v in zip(lines, got, strict=True)} == lines
+
+
+def test_fields_and_ideas(spark):
+    fields = {"GOAL: x": ("GOAL", "x"), "> **Same as known:** k1": ("SAME AS KNOWN", "k1"), "## Question 2: Why?": ("QUESTION", "Why?"), "*SHOW*: E1": ("SHOW", "E1"), "no field": ("", ""), "a b c d e f g h i: x": ("", ""), "x1y: z": ("", ""), ": z": ("", "")}
+    d = spark.createDataFrame([(k,) for k in fields], "t string")
+    got = {r["t"]: (r["k"], r["v"]) for r in d.select("t", Y.field_key(F.col("t")).alias("k"), Y.field_value(F.col("t")).alias("v")).collect()}
+    assert got == fields
+    ideas = {"IDEA c1: A name": ("c1", "A name"), "**idea 2** - **B**": ("2", "**B**"), "# IDEA x_1 . y": ("x_1", "y"), "IDEAS c1: n": None, "IDEA : n": None, "IDEA c3": ("c3", "")}
+    assert {k: v and tuple(v) for k, v in zip(ideas, read(spark, list(ideas), Y.idea_line), strict=True)} == ideas
