@@ -121,6 +121,10 @@ def cards_read(spark, sf):
 @R.add("concepts_read", Q.rec(Q.MEMORY, """SELECT learner_id, 'x' || item_id AS concept_id, stage, reps, FALSE AS background, 'P' || item_id || '@' || learner_id AS source, 'Why?:1:-1' AS questions FROM memory"""))
 def concepts_read(spark, sf):
     """Ideas as JSON read back, with sources and questions."""
+    return _shown(_concepts(spark, sf))
+
+
+def _concepts(spark, sf):
     m = _memory_json(spark, sf)
     i = F.col("item_id").cast("string")
     c = F.struct(
@@ -129,11 +133,20 @@ def concepts_read(spark, sf):
         F.array(F.struct(F.lit("Why?").alias("prompt"), F.array(F.lit("a")).alias("options"))).alias("questions"),
     )
     f = m.groupBy("learner_id").agg(F.to_json(F.collect_list(c)).alias("json"))
-    r = B.read_concepts(f, now())
+    return B.read_concepts(f, now())
+
+
+def _shown(r):
     q = F.transform("questions", lambda q: F.concat_ws(":", q["prompt"], F.size(q["options"]).cast("string"), q["correct"].cast("string")))
     return r.select("learner_id", "concept_id", "memory.stage", "memory.reps", "background", F.concat(F.col("sources")[0]["paper_id"], F.lit("@"), F.col("sources")[0]["title"]).alias("source"), F.array_join(q, ",").alias("questions"))
 
 
+@R.add("concepts_written", R.sql["concepts_read"])
+def concepts_written(spark, sf):
+    """Ideas written as JSON and read back."""
+    return _shown(B.read_concepts(B.write_concepts(_concepts(spark, sf)), now()))
+
+
 @R.add("help_log_read", """SELECT conv_id, turn, text AS question, '' AS answer, CAST(turn AS INTEGER) AS segment, CASE WHEN turn % 2 = 0 THEN 'E1' END AS about, len(text) % 3 AS n_next FROM conversations""")
 def help_log_read(spark, sf):
     """Questions and answers as JSON read back."""

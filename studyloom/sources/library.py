@@ -63,10 +63,13 @@ def read_cards(files: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def iso(t: Column) -> Column:
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
 def write_cards(cards: DataFrame) -> DataFrame:
     """files(paper_id, json): one row per card, so a large deck is many rows (read_cards takes decks of any size)."""
     m = F.col("memory")
-    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     card = F.struct(
         F.col("card_id").alias("id"), "front", "back", "visual", F.col("visual_on_front").alias("visualOnFront"), "segment", "origin", iso("created_utc").alias("created"),
         F.lower(m["stage"]).alias("stage"), iso(m["due"]).alias("due"), m["stability"].alias("stability"), m["difficulty"].alias("difficulty"), m["reps"].alias("reps"),
@@ -94,6 +97,31 @@ def read_concepts(files: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def write_concepts(concepts: DataFrame) -> DataFrame:
+    """(learner_id, json): each idea of `read_concepts`' form as a JSON array of one, sources and questions within it.
+
+    What is empty is left out: options with their right one and reasons, answers, visuals, times not known. A learner's file
+    is put together by whoever stores it, so no learner's ideas are gathered here.
+    """
+    m = F.col("memory")
+    full = lambda a: F.when(F.size(a) > 0, a)
+    source = lambda s: F.struct(s["paper_id"].alias("paper"), s["title"].alias("title"), s["segment"].alias("segment"))
+
+    def question(q: Column) -> Column:
+        choice = F.size(q["options"]) > 0
+        return F.struct(
+            q["id"].alias("id"), q["prompt"].alias("prompt"), full(q["options"]).alias("options"), F.when(choice, q["correct"]).alias("correct"), F.when(choice, q["why"]).alias("why"),
+            F.nullif(q["answer"], F.lit("")).alias("answer"), q["paper_id"].alias("paper"), q["visual"].alias("visual"), iso(q["last_asked"]).alias("asked"),
+        )
+
+    idea = F.struct(
+        F.col("concept_id").alias("id"), "name", "definition", "background", F.transform("sources", source).alias("sources"), F.transform("questions", question).alias("questions"),
+        iso("created_utc").alias("created"), F.lower(m["stage"]).alias("stage"), iso(m["due"]).alias("due"), m["stability"].alias("stability"), m["difficulty"].alias("difficulty"),
+        m["reps"].alias("reps"), m["lapses"].alias("lapses"), iso(m["last_review"]).alias("last"),
+    )
+    return concepts.select("learner_id", F.to_json(F.array(idea)).alias("json"))
+
+
 def read_help_log(files: DataFrame, now: Column) -> DataFrame:
     """Question and answer turns of files(paper_id, json)."""
     e = files.select("paper_id", F.posexplode(F.from_json("json", f"ARRAY<STRUCT<{TURN}>>")).alias("ord", "e"))
