@@ -68,3 +68,10 @@ def test_fields_and_ideas(spark):
     assert got == fields
     ideas = {"IDEA c1: A name": ("c1", "A name"), "**idea 2** - **B**": ("2", "**B**"), "# IDEA x_1 . y": ("x_1", "y"), "IDEAS c1: n": None, "IDEA : n": None, "IDEA c3": ("c3", "")}
     assert {k: v and tuple(v) for k, v in zip(ideas, read(spark, list(ideas), Y.idea_line), strict=True)} == ideas
+
+
+def test_repeated_ids_of_a_plan(spark):
+    rows = [(1, i, b) for i, b in enumerate(["c1", "c1b", "c1", "x", "c1", "c1b"])] + [(2, 0, "c1")]
+    d = spark.createDataFrame(rows, "paper_id long, _idea long, _base string")
+    got = {(r["paper_id"], r["_idea"]): r["idea_id"] for r in P._given_ids(d).collect()}
+    assert [got[1, i] for i in range(6)] == ["c1", "c1b", "c1bb", "x", "c1bbb", "c1bb" + "bb"] and got[2, 0] == "c1"
