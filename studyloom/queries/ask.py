@@ -111,6 +111,17 @@ def paper_texts(spark, sf):
     return H.paper_text(d, "paper").select("paper", F.md5("text").alias("text"), F.length("text").cast("long").alias("chars"))
 
 
+@R.add("paper_texts_growing", """WITH p AS (SELECT doc_id % 20 AS paper, doc_id // 20 AS page, concat(chr(10), chr(10), '<!-- page ', doc_id // 20 + 1, ' -->', chr(10), chr(10), text) AS t FROM documents),
+b AS (SELECT paper, page, t, sum(length(t)) OVER (PARTITION BY paper ORDER BY page) - length(t) AS n FROM p)
+SELECT paper, page, CASE WHEN n = 0 THEN 0 ELSE CAST(n - 2 AS BIGINT) END AS "begin", md5(CASE WHEN n = 0 THEN substring(t, 3) ELSE t END) AS text FROM b""")
+def paper_texts_growing(spark, sf):
+    """Twenty papers that grow with the table, as pieces with their places."""
+    d = views.texts(spark, sf, "documents").select(
+        (F.col("doc_id") % 20).alias("paper"), F.floor(F.col("doc_id") / 20).cast("long").alias("page"), F.concat(F.lit("![a](b.png)"), "text").alias("markdown")
+    )
+    return H.paper_pieces(d, "paper").withColumn("text", F.md5("text"))
+
+
 _PLAN = """concat('OVERVIEW: x\\n## IDEA ', doc_id % 7, ': **', substring(text, 1, 12), '**\\n idea c2 - Second ', doc_id, '\\nIDEA c3:\\nnoise')"""
 
 
