@@ -16,8 +16,9 @@ R = Registry()
 
 
 def stream_of(spark, sf, name):
-    """The files of a table as a stream."""
-    return spark.readStream.schema(views.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The files of a table as a stream, whether the table is one file or a folder of them."""
+    # a pattern, so that a single file is listed like a folder; it matches the table's own name only
+    return spark.readStream.schema(views.table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def event_stream(spark, sf):

@@ -1,10 +1,12 @@
 """Streams over several micro-batches, with late answers and queues that empty."""
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
 from studyloom.operators import memory
+from studyloom.queries import streaming as Q
 from studyloom.streaming import streams as X
 
 REVIEWS = "learner_id long, item_id int, ts timestamp, seq long, rating int"
@@ -59,3 +61,10 @@ def test_imports_and_replies_over_batches(spark, tmp_path):
     table = X.run_to_table(X.stream_replies(pieces), "replies", "update")
     got = {r["reply_id"]: (r["text"], r["pieces"]) for r in X.latest(table, ["reply_id"]).collect()}
     assert got == {1: ("hello world!", 3), 2: ("x", 1)}
+
+
+def test_tables_in_several_files_are_streamed(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k % 3}") for k in range(9)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {hashlib.sha256(f"text {k}".encode()).hexdigest()[:16] for k in range(3)}
+    assert sorted(r["paper_id"] for r in Q.stream_import(spark, str(tmp_path)).collect()) == sorted(want)
