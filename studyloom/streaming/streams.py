@@ -106,7 +106,7 @@ def _join_pieces(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState)
     text, upto, waiting = state.get if state.exists else ("", 0, "{}")
     early = {int(k): v for k, v in json.loads(waiting).items()}
     for c in chunks:
-        early.update({int(s): t for s, t in zip(c["seq"], c["text"]) if s >= upto})
+        early.update({int(s): t or "" for s, t in zip(c["seq"], c["text"]) if s >= upto})
     new = []
     while upto in early:
         new.append(early.pop(upto))
@@ -119,7 +119,7 @@ def _join_pieces(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState)
 def stream_replies(pieces: DataFrame) -> DataFrame:
     """A stream of pieces(reply_id long, seq from 0, text) to each reply so far, read again at every update.
 
-    Pieces that come early wait in the state. A reply is a few kilobytes; its state stays, since no piece says it is the last.
+    Pieces that come early wait in the state; one without text counts. A reply is a few kilobytes; its state stays, since no piece says it is the last.
     """
     so_far = pieces.groupBy("reply_id").applyInPandasWithState(
         _join_pieces, "reply_id long, text string, pieces long", "text string, upto long, waiting string", "update", GroupStateTimeout.NoTimeout

@@ -68,3 +68,11 @@ def test_tables_in_several_files_are_streamed(spark, tmp_path):
     docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     want = {hashlib.sha256(f"text {k}".encode()).hexdigest()[:16] for k in range(3)}
     assert sorted(r["paper_id"] for r in Q.stream_import(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_replies_of_several_files_with_a_piece_without_text(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, "a "), (1, 1, None), (1, 2, "b"), (2, 0, "c")], "conv_id long, turn int, text string")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["reply_id"]: (r["pieces"], r["answer"]) for r in Q.stream_replies(spark, str(tmp_path)).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {1: (3, md5("a b")), 2: (1, md5("c"))}
