@@ -36,11 +36,24 @@ def sql_plain(h: str) -> str:
 
 
 STRIPPED = f"stripped AS (SELECT page_id, url, html, {sql_strip('html')} AS body FROM pages)"
-_ARTICLE = "regexp_extract(body, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)"
-_BODY = "regexp_extract(body, '(?is)<body\\b[^>]*>(.*?)</body\\s*>', 1)"
+
+
+def sql_article(h: str) -> str:
+    return f"regexp_extract({h}, '(?is)<article\\b[^>]*>(.*?)(?:</article\\s*>|$)', 1)"
+
+
+def sql_body(h: str) -> str:
+    return f"CASE WHEN regexp_matches({h}, '(?i)<body\\b') THEN regexp_extract({h}, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1) ELSE {h} END"
+
+
+def sql_root(h: str, said: str) -> str:
+    """The article or the body of `h`, as `said`, the same page with all its words, decides; an element without an end reaches to the page's."""
+    n = f"length({sql_plain(sql_article(said))})"
+    return f"CASE WHEN {n} >= 400 OR {n} > 0.3 * greatest(1, length({sql_plain(sql_body(said))})) THEN {sql_article(h)} ELSE {sql_body(h)} END"
+
+
 ROOT = f"""{STRIPPED},
-root AS (SELECT page_id, url, html, CASE WHEN length({sql_plain(_ARTICLE)}) >= 400 OR length({sql_plain(_ARTICLE)}) > 0.3 * greatest(1, length({sql_plain(_BODY)}))
-  THEN {_ARTICLE} ELSE {_BODY} END AS root FROM stripped)"""
+root AS (SELECT page_id, url, html, {sql_root('body', 'body')} AS root FROM stripped)"""
 
 
 @R.add("furniture_stripped", f"WITH {STRIPPED} SELECT page_id, length(body) AS chars, md5(body) AS body FROM stripped")
@@ -61,21 +74,24 @@ def article_roots(spark, sf):
     return _roots(spark, sf).select("page_id", F.md5("root").alias("root"))
 
 
-@R.add("web_blocks", f"""WITH {ROOT},
-pieces AS (SELECT page_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (
+PIECES = f"""pieces AS (SELECT page_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (
   SELECT page_id, string_split(regexp_replace(root, '(?i)(</?(?:{"|".join(W.BLOCK_TAGS)})\\b[^>]*>)', chr(1) || '\\1', 'g'), chr(1)) AS l FROM root)),
-b AS (SELECT page_id, i, lower(regexp_extract(piece, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag,
-  {sql_tidy("regexp_replace(regexp_replace(" + sql_plain("piece") + ", '\\(\\s*[,;]?\\s*\\)|\\[\\s*[,;]?\\s*\\]', '', 'g'), '\\s*[,;]\\s*\\)', ')', 'g')")} AS text FROM pieces)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord,
-  CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag IN ('li', 'dt', 'dd') THEN 'item' WHEN tag = 'pre' THEN 'code' ELSE 'paragraph' END AS kind, text
-FROM b WHERE regexp_matches(text, '[\\p{{L}}\\p{{Nd}}]')""")
+b AS (SELECT page_id, i, piece, lower(regexp_extract(piece, '^<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag,
+  {sql_tidy("regexp_replace(regexp_replace(" + sql_plain("piece") + ", '\\(\\s*[,;]?\\s*\\)|\\[\\s*[,;]?\\s*\\]', '', 'g'), '\\s*[,;]\\s*\\)', ')', 'g')")} AS text FROM pieces)"""
+_BLOCK_KIND = "CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag IN ('li', 'dt', 'dd') THEN 'item' WHEN tag = 'pre' THEN 'code' ELSE 'paragraph' END"
+_BLOCK_SAYS = "regexp_matches(text, '[\\p{L}\\p{Nd}]')"
+
+
+@R.add("web_blocks", f"""WITH {ROOT},
+{PIECES}
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, {_BLOCK_KIND} AS kind, text FROM b WHERE {_BLOCK_SAYS}""")
 def web_blocks(spark, sf):
     """Blocks of every page's article."""
     return O.web_blocks(pages(spark, sf), ["page_id"]).select("page_id", "ord", "kind", "text")
 
 
 # what the article of each page begins with: every kind of block, and what must not become one
-_TYPED = """replace(html, '<article>', concat('<article><h2>Part ', page_id, '</h2><ul class="langs"><li><a href="/de">Deutsch</a></li><li><a href="/fr">Français</a></li><li><a href="/fi">Suomi</a></li></ul>',
+_TYPED_PART = """concat('<h2>Part ', page_id, '</h2><ul class="langs"><li><a href="/de">Deutsch</a></li><li><a href="/fr">Français</a></li><li><a href="/fi">Suomi</a></li></ul>',
   '<div><p>The value of <span style="display:none"><math alttext="{\\\\displaystyle z_{', page_id, '}}"></math> stray</span><img class="mwe-math-fallback-image-inline" alt="z" src="x.svg"> is H<sub>2</sub>O.<sup class="reference"><a href="#c1">[1]</a></sup> It sums<sup><a href=\\'#n\\'>2</a></sup> to 1 (, ).</p></div>',
   '<p><math display="block" alttext="a < b_', page_id, '"></math></p><div hidden><p>unseen</p></div>',
   '<figure><img src="f', page_id, '.png" alt="plot"><img data-src="/g.png" src="data:image/gif;base64,R0"><figcaption>Figure 2: The <i>function</i>.</figcaption></figure>',
@@ -84,19 +100,28 @@ _TYPED = """replace(html, '<article>', concat('<article><h2>Part ', page_id, '</
   '<table><tr><td><p>left side</p></td><td><table><tr><td>u</td><td>v</td></tr><tr><td>3</td><td>4</td></tr></table></td></tr></table>',
   '<ol><li><p>first item</p></li><li>second <b>item</b></ol><pre>if x:
   y = ', page_id, ' &lt; 2</pre><figure><figure><table><tr><td>7</td><td>8</td></tr><tr><td>9</td><td>0</td></tr></table></figure><figcaption>Table 2: Inside.</figcaption></figure>',
-  '<p>With <img src=\\'p.png\\' alt=\\'A photo\\'> in the text.</p><p><a href="/a">one</a> <a href="/b">two</a> <a href="/c">three</a></p>'))"""
-_TYPED_SQL = """SELECT page_id, x.ord, x.kind, x.level, x.text, x.caption, x.src, x.number, x.rows FROM pages, LATERAL (VALUES
+  '<p>With <img src=\\'p.png\\' alt=\\'A photo\\'> in the text.</p><p><a href="/a">one</a> <a href="/b">two</a> <a href="/c">three</a></p>')"""
+_TYPED = f"replace(html, '<article>', concat('<article>', {_TYPED_PART}))"
+# its place in the SQL, and its words without what is hidden
+_TYPED_MARK = '<hr class="typed">'
+_TYPED_SAID = "regexp_replace(" + _TYPED_PART.replace("\\\\", "\\").replace("\\'", "''") + """, '<span style="display:none">.*?</span>|<div hidden>.*?</div>', '', 'g')"""
+_TYPED_SQL = """SELECT page_id, i, x.ord, x.kind, x.level, x.text, x.caption, x.src, x.number, x.rows FROM b, LATERAL (VALUES
   (0, 'heading', 2, concat('Part ', page_id), NULL, NULL, NULL, NULL), (1, 'paragraph', NULL, concat('The value of $z_{', page_id, '}$ is H_{2}O. It sums to 1.'), NULL, NULL, NULL, NULL),
   (2, 'math', NULL, concat('a < b_', page_id), NULL, NULL, NULL, NULL), (3, 'image', NULL, 'plot', 'Figure 2: The function.', concat('f', page_id, '.png'), NULL, NULL),
   (4, 'image', NULL, '', NULL, '/g.png', NULL, NULL), (5, 'table', NULL, '', 'Table 1: Values.', NULL, NULL, concat('z|p^{2}/a cell of prose longer than thirty signs ', page_id, '|$x_1$ & 1')),
   (6, 'math', NULL, 'c = d', NULL, NULL, CAST(page_id % 9 AS VARCHAR), NULL), (7, 'paragraph', NULL, 'left side', NULL, NULL, NULL, NULL), (8, 'table', NULL, '', NULL, NULL, NULL, 'u|v/3|4'),
   (9, 'item', NULL, 'first item', NULL, NULL, NULL, NULL), (10, 'item', NULL, 'second item', NULL, NULL, NULL, NULL), (11, 'code', NULL, concat('if x:', chr(10), '  y = ', page_id, ' < 2'), NULL, NULL, NULL, NULL),
   (12, 'table', NULL, '', 'Table 2: Inside.', NULL, NULL, '7|8/9|0'), (13, 'paragraph', NULL, 'With in the text.', NULL, NULL, NULL, NULL), (14, 'image', NULL, 'A photo', NULL, 'p.png', NULL, NULL)
-) AS x(ord, kind, level, text, caption, src, number, rows)"""
+) AS x(ord, kind, level, text, caption, src, number, rows) WHERE starts_with(piece, '<hr class="typed">')"""
 
 
-@R.add("web_blocks_typed", f"""WITH plain AS ({R.sql["web_blocks"]}), typed AS ({_TYPED_SQL})
-SELECT page_id, ord + 15 AS ord, kind, CASE WHEN kind = 'heading' THEN 1 END AS level, text, NULL AS caption, NULL AS src, NULL AS number, NULL AS rows FROM plain UNION ALL SELECT * FROM typed""")
+@R.add("web_blocks_typed", f"""WITH {STRIPPED},
+said AS (SELECT page_id, replace(body, '<article>', '<article>{_TYPED_MARK}') AS body, replace(body, '<article>', concat('<article>', {_TYPED_SAID})) AS said FROM stripped),
+root AS (SELECT page_id, {sql_root("body", "said")} AS root FROM said),
+{PIECES},
+typed AS ({_TYPED_SQL}
+  UNION ALL SELECT page_id, i, 15, {_BLOCK_KIND}, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(tag[2:] AS INTEGER) END, text, NULL, NULL, NULL, NULL FROM b WHERE {_BLOCK_SAYS})
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, ord) - 1 AS ord, kind, level, text, caption, src, number, rows FROM typed""")
 def web_blocks_typed(spark, sf):
     """Pages whose articles begin with every kind of block, each at its place."""
     b = O.web_blocks(pages(spark, sf).select("page_id", F.expr(_TYPED).alias("html")), ["page_id"])
