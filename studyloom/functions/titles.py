@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from studyloom.functions.text import bind
+
 ARXIV = r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv[:.]\s*)?(\d{4}\.\d{4,5}|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?(?:\.pdf)?"
 DOI = r"(?i)\b(10\.\d{4,9}/[^\s\"<>]+)"
 BARE_ARXIV = r"(?i)^(arxiv:\s*)?\d{4}\.\d{4,5}(v\d+)?$"
@@ -72,6 +74,23 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def word_index(words: Column) -> Column:
+    """D5, the other way: a text's words as a map word → positions, in its own row: equal words follow each other once sorted."""
+
+    def entries(at: Column) -> Column:
+        word = lambda k: F.try_element_at(at, k)["w"]
+        starts = F.filter(F.transform(at, lambda x, i: F.when((i == 0) | (word(F.greatest(i, F.lit(1))) != x["w"]), i)), lambda i: i.isNotNull())
+
+        def runs(ss: Column) -> Column:
+            end = lambda k: F.coalesce(F.try_element_at(ss, k + 2), F.size(at))
+            places = lambda s, k: F.transform(F.slice(at, s + 1, end(k) - s), lambda x: x["p"])
+            return F.transform(ss, lambda s, k: F.struct(word(s + 1).alias("w"), places(s, k).alias("ps")))
+
+        return F.map_from_entries(bind(starts, runs))
+
+    return bind(F.array_sort(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p")))), entries)
+
+
 def abstract_from_index(index: Column) -> Column:
     """A map word → positions turned back into text; a leading heading is dropped."""
     pairs = F.flatten(

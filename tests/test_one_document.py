@@ -1,8 +1,9 @@
-"""A document that holds all rows is not one task's."""
+"""A document that holds all rows is not one task's; a text's words are indexed in its own row."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from studyloom.functions import titles as N
 from studyloom.operators import layout as L
 
 
@@ -24,3 +25,13 @@ def test_words_meet_their_body_by_page(shuffled):
     assert d.count() == 400 and d.select("body").distinct().collect() == [(9.0,)]
     assert d.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
     d.unpersist()
+
+
+def test_words_of_a_text(spark):
+    texts = ["a b a", "", "b", None, "a a a", "Abstract: x y x y z"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.filter(F.split("t", " "), lambda x: x != "").alias("w"))
+    d = d.select("t", N.word_index(F.col("w")).alias("i"))
+    for r in d.collect():
+        ws = None if r.t is None else r.t.split()
+        assert r.i == (None if ws is None else {w: [p for p, x in enumerate(ws) if x == w] for w in ws})
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
