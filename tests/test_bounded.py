@@ -38,3 +38,20 @@ def test_units_of_rows(spark):
     # the blocks and the titles, once each, and the title units
     shuffled, stored = exchanges(D.units_and_visuals(numbered(spark, True), titles, bounded=True)[0])
     assert shuffled <= 2 and stored <= 3
+
+
+def test_lines_of_rows_are_shuffled_once(spark):
+    text = "# Head\n\none *it* &amp; two\n- item\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nUnder\n=====\n```\ncode\n```\n"
+    d = spark.createDataFrame([(1, text), (2, "> quoted\nplain\n")], "doc_id long, text string")
+    b = D.markdown_blocks(d)
+    assert exchanges(b) == (1, 1)
+    got = [(r.doc_id, r.kind, r.text) for r in b.orderBy("doc_id", "ord").collect()]
+    assert got == [(1, "heading", "Head"), (1, "paragraph", "one it & two"), (1, "item", "item"), (1, "table", ""), (1, "heading", "Under"), (1, "code", "code"), (2, "paragraph", "quoted plain")]
+
+
+def test_captions_of_rows(spark):
+    rows = [(1, i, k, t, "") for i, (k, t) in enumerate([("image", ""), ("paragraph", "Figure 1: a"), ("table", ""), ("paragraph", "Table 2: b"), ("table", ""), ("image", "")])]
+    b = spark.createDataFrame(rows, "doc_id long, ord int, kind string, text string, caption string")
+    plain, whole = (S.attach_captions(b, bounded=x) for x in (False, True))
+    assert plain.orderBy("ord").collect() == whole.orderBy("ord").collect()
+    assert exchanges(whole) == (1, 1)
