@@ -178,8 +178,9 @@ def figure_groups(blocks: DataFrame) -> DataFrame:
         free = F.filter(F.col("_tables"), lambda t: ~F.array_contains(s["used"], t["ord"]))
         dist = lambda t: F.least(F.abs(t["y0"] - c["y1"]), F.abs(c["y0"] - t["y1"]))
         best = F.array_min(F.transform(free, lambda t: F.struct(dist(t).alias("d"), t["ord"].alias("ord"))))
-        row = F.struct(c["id"].alias("visual_id"), c["ord"].alias("caption_ord"), best["ord"].alias("ord"))
-        return F.when(best.isNull(), s).otherwise(F.struct(F.concat(s["used"], F.array(best["ord"])).alias("used"), F.concat(s["rows"], F.array(row)).alias("rows")))
+        row = lambda x: F.struct(c["id"].alias("visual_id"), c["ord"].alias("caption_ord"), x["ord"].alias("ord"))
+        taken = lambda x: F.struct(F.concat(s["used"], F.array(x["ord"])).alias("used"), F.concat(s["rows"], F.array(row(x))).alias("rows"))
+        return T.bind(best, lambda x: F.when(x.isNull(), s).otherwise(taken(x)))
 
     # the tables and table captions of one page image: a handful
     zero = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<visual_id:string,caption_ord:bigint,ord:bigint>>").alias("rows"))
@@ -191,7 +192,8 @@ def figure_groups(blocks: DataFrame) -> DataFrame:
 def regions(groups: DataFrame, blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     """The area (points, 4-point margin, inside the page) of each group and its caption."""
     key = [DOC, PAGE, "visual_id", "caption_ord"]
-    members = groups.select(*key, "ord").unionByName(groups.select(*key, F.col("caption_ord").alias("ord"))).distinct()
+    # the groups are read once for their blocks and captions
+    members = groups.select(*key, F.explode(F.array_distinct(F.array("ord", "caption_ord"))).alias("ord")).distinct()
     b = members.join(blocks.select(DOC, PAGE, "ord", "x0", "y0", "x1", "y1"), [DOC, PAGE, "ord"])
     g = b.groupBy(*key).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).join(sizes, [DOC, PAGE])
     sx, sy = F.col("pt_w") / F.col("px_w"), F.col("pt_h") / F.col("px_h")

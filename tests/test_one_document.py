@@ -35,3 +35,15 @@ def test_words_of_a_text(spark):
         ws = None if r.t is None else r.t.split()
         assert r.i == (None if ws is None else {w: [p for p, x in enumerate(ws) if x == w] for w in ws})
     assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_are_read_once(spark):
+    from studyloom.operators import ocr as O
+
+    groups = spark.createDataFrame([(1, 1, "Fig1", 9, 2), (1, 1, "Fig1", 9, 3)], "doc_id long, page long, visual_id string, caption_ord long, ord long")
+    blocks = spark.createDataFrame([(1, 1, i, 10.0 * i, 20.0, 10.0 * i + 5, 30.0) for i in (2, 3, 9)], "doc_id long, page long, ord long, x0 double, y0 double, x1 double, y1 double")
+    sizes = spark.createDataFrame([(1, 1, 612.0, 792.0, 612.0, 792.0)], "doc_id long, page long, px_w double, px_h double, pt_w double, pt_h double")
+    r = O.regions(groups, blocks, sizes)
+    assert [tuple(x) for x in r.select("visual_id", "x", "y", "w", "h").collect()] == [("Fig1", 16.0, 16.0, 83.0, 18.0)]
+    # groups, blocks and sizes
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
