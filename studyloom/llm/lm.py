@@ -3,7 +3,7 @@
 Pairs are counted by Spark in segments by hash, and words in one table; both are exact and none is left out, however large
 the corpus. A segment's counts are made by one task from its own pairs and stored; the number of segments follows the
 corpus, so that one of them has a bounded size. To score, a document's pairs are sent to their segments, looked up there
-and summed up by document. So neither counts nor pairs meet on the driver, and nothing that grows is broadcast.
+and summed up by slice of documents, whose sums from a bounded number of tasks are then added. So neither counts nor pairs meet on the driver, and nothing that grows is broadcast.
 
 The most frequent words, of a bounded number, go to every worker with their counts. A pair that ends in another word lies
 in the segment of that word, beside the word's own count; all other words of a document are joined with the table.
@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh64_intdigest
 
-from studyloom.llm.common import lower_words, slices, stored
+from studyloom.llm.common import slices, stored
 
-#: the end of a text; no word can hold a space
-END = xxh64_intdigest(b" ")
 PROBES = 5
 MU = 20.0
 
@@ -43,40 +41,26 @@ class Size:
     top_words: int = 1 << 18
 
 
-class Vocabulary(dict):
-    """The words a worker has met, each with a number; `hashes` has their 64-bit hashes by number. Number 0 is the end."""
-
-    def __init__(self, most: int = 300_000, most_chars: int = 16 << 20) -> None:
-        super().__init__()
-        self.most, self.most_chars, self.starts = most, most_chars, 0
-        self.restart()
-
-    def restart(self) -> None:
-        self.clear()
-        self.starts += 1
-        self.fresh: list[int] = [END]
-        self.hashes = np.zeros(0, np.uint64)
-        self.chars = 0
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self) + 1
-        self.fresh.append(xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
-        self.chars += len(word)
-        return number
-
-    def slice(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the words and ends of texts one after the other, and where each text begins.
-
-        Numbers hold for this slice; a vocabulary that has grown too large starts anew before it.
-        """
-        if len(self) > self.most or self.chars > self.most_chars:
-            self.restart()
-        seen = [[*map(self.__getitem__, lower_words(t)), 0] if t else [0] for t in texts]
-        lengths = np.array([len(x) for x in seen], np.int64)
-        if self.fresh:
-            self.hashes = np.concatenate([self.hashes, np.array(self.fresh, np.uint64)])
-            self.fresh = []
-        return np.fromiter(itertools.chain.from_iterable(seen), np.int64, int(lengths.sum())), np.cumsum(lengths) - lengths
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of the words and ends of texts one after the other, where each text begins, and the words' 64-bit hashes
+    by number. Number 0 is the end; numbers hold for these texts. The end is hashed as a space, which no word can hold. What Arrow splits and lowers by is U+0020, U+0009 to
+    U+000D and A-Z, no more. A null text is an empty one."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten().dictionary_encode()
+    kinds = words.dictionary.cast(pa.large_binary())
+    _, at, data = kinds.buffers()
+    at, data = np.frombuffer(at, np.int64)[kinds.offset : kinds.offset + len(kinds) + 1], (data or pa.py_buffer(b"")).to_pybytes()
+    ends = at.tolist()
+    hashes = np.fromiter(map(xxh64_intdigest, itertools.chain([b" "], (data[x:y] for x, y in itertools.pairwise(ends)))), np.uint64, len(kinds) + 1)
+    number = words.indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    # white space at an end of a text leaves an empty word there
+    some = (np.diff(at) > 0)[number]
+    number, owner = number[some], owner[some]
+    lengths = np.bincount(owner, minlength=len(texts)) + 1
+    numbers = np.zeros(len(number) + len(texts), np.int64)
+    numbers[np.arange(len(number)) + owner] = number + 1
+    return numbers, np.cumsum(lengths) - lengths, hashes
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -212,16 +196,14 @@ def _counted(segment: np.ndarray, grams: np.ndarray, n: np.ndarray) -> pa.Record
 
 def _grams(batches: Iterator[pa.RecordBatch], shared, segments: int) -> Iterator[pa.RecordBatch]:
     """COUNTED rows: pairs of words, counted within each slice of texts."""
-    words = Vocabulary()
-    facts = Facts(shared.value, words)
     for batch in batches:
         for part in slices(batch, "text"):
-            numbers, first = words.slice(part.column("text").to_pylist())
-            facts.follow()
+            numbers, first, h = words_of(part.column("text"))
+            facts = Facts(shared.value, h)
             pairs, n = np.unique(pairs_of(numbers, first), return_counts=True)
             last = pairs >> 32
-            grams = gram_of(words.hashes[pairs & 0xFFFFFFFF], words.hashes[last])
-            yield _counted(pair_segment(grams, words.hashes[last], facts.at[last] >= 0, segments), facts.keys(grams, pairs & 0xFFFFFFFF, last), n)
+            grams = gram_of(h[pairs & 0xFFFFFFFF], h[last])
+            yield _counted(pair_segment(grams, h[last], facts.at[last] >= 0, segments), facts.keys(grams, pairs & 0xFFFFFFFF, last), n)
 
 
 def _single(batches: Iterator[pa.RecordBatch], shared, segments: int) -> Iterator[pa.RecordBatch]:
@@ -257,13 +239,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Vocabulary()
     for batch in batches:
         for part in slices(batch, "text"):
-            numbers, _ = words.slice(part.column("text").to_pylist())
-            n = np.bincount(numbers, minlength=len(words.hashes))
+            numbers, _, h = words_of(part.column("text"))
+            n = np.bincount(numbers, minlength=len(h))
             some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words.hashes[some].view(np.int64)), "c": pa.array(n[some])})
+            yield pa.RecordBatch.from_pydict({"word": pa.array(h[some].view(np.int64)), "c": pa.array(n[some])})
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -306,27 +287,15 @@ class Model:
 
 
 class Facts:
-    """What the broadcast words tell of each word of a vocabulary, by its number: its place among them or -1, and its terms
-    of base score and score."""
-
-    def __init__(self, known: Known, words: Vocabulary) -> None:
-        self.model, self.words = known, words
-        self.reset()
-
-    def reset(self) -> None:
-        self.starts = self.words.starts
-        self.at, self.logs, self.back = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-
-    def follow(self) -> None:
-        """Look up the words that are new."""
-        m, h = self.model, self.words.hashes
-        if self.starts != self.words.starts:
-            self.reset()
-        at = find(m.top, h[len(self.at) :].view(np.int64))
-        c = self.counts(at)
-        logs = np.where(at >= 0, np.log10(m.share(c)), 0.0)
-        back = np.where(at >= 0, logs + math.log10(MU) - np.log10(c + MU), 0.0)
-        self.at, self.logs, self.back = np.concatenate([self.at, at]), np.concatenate([self.logs, logs]), np.concatenate([self.back, back])
+    """What the broadcast words tell of each word by its number: its place among them or -1, and its terms of base score and
+    score."""
+
+    def __init__(self, known: Known, hashes: np.ndarray) -> None:
+        self.model = known
+        self.at = find(known.top, hashes.view(np.int64))
+        c = self.counts(self.at)
+        self.logs = np.where(self.at >= 0, np.log10(known.share(c)), 0.0)
+        self.back = np.where(self.at >= 0, self.logs + math.log10(MU) - np.log10(c + MU), 0.0)
 
     def counts(self, at: np.ndarray) -> np.ndarray:
         """The counts of words by their places; 0 for -1."""
@@ -354,34 +323,39 @@ def trained(train: DataFrame, size: Size = Size()) -> tuple[Model, DataFrame]:
     return Model(known, segments, pairs), words
 
 
-#: documents whose sums one task keeps before it gives them out
-KEPT_SUMS = 1 << 20
+#: documents of a block: one task keeps a sum of each, 8 bytes
+BLOCK = 1 << 23
+#: tasks that look up pairs: a document gets one sum from each at most, however many segments there are
+TASKS = 48
 #: kinds of rows that are dealt to segments, in this order within one
 COUNTS, PAIRS, DOCUMENT = 0, 1, 2
 
 
-def _deal(batches: Iterator[pa.RecordBatch], shared, segments: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], shared, segments: int, schema: pa.Schema, blocks: int = 1) -> Iterator[pa.RecordBatch]:
     """One row of each document, and for each slice of texts one of each segment: its pairs by document."""
-    words = Vocabulary()
-    facts = Facts(shared.value, words)
 
     def batch_of(n: int, columns: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     for batch in batches:
         for part in slices(batch, "text"):
-            numbers, first = words.slice(part.column("text").to_pylist())
-            facts.follow()
-            row, h = part.column("row").to_numpy(), words.hashes
+            numbers, first, h = words_of(part.column("text"))
+            facts = Facts(shared.value, h)
+            row = part.column("row").to_numpy()
+            # rows of a partition are numbered one after the other from a multiple of 2^33
+            block = (int(row[0]) >> 33) % blocks
             lengths = np.diff(np.append(first, len(numbers)))
-            rare = facts.at[numbers] < 0
-            n_rare = np.add.reduceat(rare.astype(np.int64), first)
+            owner = np.repeat(row - row[0], lengths)
+            rare = np.flatnonzero(facts.at[numbers] < 0)
+            words, n_rare = np.unique(owner[rare] << 32 | numbers[rare], return_counts=True)
+            offsets = pa.array(np.searchsorted(words >> 32, np.arange(len(row) + 1)), pa.int32())
             yield batch_of(len(row), {
-                "segment": pa.array(row % segments), "kind": pa.array(np.full(len(row), DOCUMENT, np.int32)), "n_tokens": pa.array(lengths), "n_known": pa.array(lengths - n_rare),
+                "block": pa.array([block] * len(row), pa.int32()), "segment": pa.array(row % segments), "kind": pa.array(np.full(len(row), DOCUMENT, np.int32)),
+                "n_tokens": pa.array(lengths), "n_known": pa.array(lengths - np.bincount(owner[rare], minlength=len(row))),
                 "base": pa.array(np.add.reduceat(facts.logs[numbers], first)), "score": pa.array(np.add.reduceat(facts.back[numbers], first)),
-                "rare": pa.array(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(h[numbers[rare]].view(np.int64)))),
+                "rare": pa.array(pa.ListArray.from_arrays(offsets, pa.array(h[words & 0xFFFFFFFF].view(np.int64)))), "n_rare": pa.array(pa.ListArray.from_arrays(offsets, pa.array(n_rare, pa.int32()))),
             } | {c: part.column(c) for c in ("row", "id", "held_out")})
-            pairs, owner = pairs_of(numbers, first), np.repeat(row - row[0], lengths)
+            pairs = pairs_of(numbers, first)
             before = pairs & 0xFFFFFFFF
             grams = gram_of(h[before], h[numbers])
             keys = facts.keys(grams, before, numbers)
@@ -395,32 +369,37 @@ def _deal(batches: Iterator[pa.RecordBatch], shared, segments: int, schema: pa.S
                 hashed = last[at[keys[at] >= HASHED]]
                 c = facts.counts(facts.at[hashed])
                 got.append((segment, steps(keys[at]), planes(n[at]), planes(c), word_key(h[hashed[c == 0]]).tobytes(), planes(owner[at])))
-            columns = {"segment": pa.array([g[0] for g in got], pa.int64()), "kind": pa.array([PAIRS] * len(got), pa.int32()), "row": pa.array([row[0]] * len(got), pa.int64())}
+            columns = {"block": pa.array([block] * len(got), pa.int32()), "segment": pa.array([g[0] for g in got], pa.int64()), "kind": pa.array([PAIRS] * len(got), pa.int32()), "row": pa.array([row[0]] * len(got), pa.int64())}
             yield batch_of(len(got), columns | {name: pa.array([g[i] for g in got], pa.binary()) for i, name in enumerate(("gram", "n", "c", "words", "owner"), 1)})
 
 
+def plus(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays; places beyond the end of the shorter one are 0 there."""
+    if a is None:
+        return b
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    long[: len(short)] += short
+    return long
+
+
 def _look_up(batches: Iterator[pa.RecordBatch], shared, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents as they are, and sums over pairs by document: (row, score), several for a document.
+    """Rows of documents as they are, and rows of slices: (row of the first document, sums over pairs of it and those after it).
 
-    Rows come by segment, its counts first; only these and a bounded number of sums are held."""
+    Rows come by block and segment, a segment's counts first; only these and the sums of a block are held."""
     m: Known = shared.value
     here, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows: list[np.ndarray] = []
-    sums: list[np.ndarray] = []
+    sums: dict[int, np.ndarray] = {}
     schema = None
 
     def count(wanted: np.ndarray) -> np.ndarray:
         at = find(keys, wanted)
         return np.where(at >= 0, counts[at], 0)
 
-    def summed() -> None:
-        row, of = np.unique(np.concatenate(rows), return_inverse=True)
-        sums[:] = [np.bincount(of, np.concatenate(sums), len(row))]
-        rows[:] = [row]
-
     def given_out() -> pa.RecordBatch:
-        columns = {"kind": pa.array(np.full(len(rows[0]), PAIRS, np.int32)), "row": pa.array(rows[0]), "score": pa.array(sums[0])}
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(rows[0]), f.type) for f in schema], schema=schema)
+        columns = {"kind": pa.array([PAIRS] * len(sums), pa.int32()), "row": pa.array(list(sums), pa.int64()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())}
+        out = pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(sums), f.type) for f in schema], schema=schema)
+        sums.clear()
+        return out
 
     for batch in batches:
         documents = batch.filter(pc.equal(batch.column("kind"), DOCUMENT)).select(names)
@@ -430,26 +409,41 @@ def _look_up(batches: Iterator[pa.RecordBatch], shared, names: list[str]) -> Ite
         for i, kind in enumerate(batch.column("kind").to_pylist()):
             value = lambda name: batch.column(name)[i].as_py()  # noqa: B023, E731
             if kind == COUNTS:
-                here, keys, counts = value("segment"), unstepped(value("gram")), unplaned(value("n"), np.int64)
-            elif kind == PAIRS and value("segment") == here:
+                if sums and here is not None and here[0] != value("block"):
+                    yield given_out()
+                here, keys, counts = (value("block"), value("segment")), unstepped(value("gram")), unplaned(value("n"), np.int64)
+            elif kind == PAIRS and (value("block"), value("segment")) == here:
                 pairs, rest = unstepped(value("gram")), unplaned(value("c"), np.int64)
                 rest[rest == 0] = count(np.frombuffer(value("words"), np.uint64))
                 two, short = count(pairs), int(np.searchsorted(pairs, HASHED))
                 c = np.concatenate([m.top_counts[(pairs[:short] >> np.uint64(m.bits)).astype(np.int64)], rest])
                 some = np.flatnonzero(two)
-                rows.append(value("row") + unplaned(value("owner"), np.int64)[some])
-                sums.append(unplaned(value("n"), np.int64)[some] * np.log10(1 + two[some] / (MU * m.share(c[some]))))
-                if sum(map(len, rows)) > 2 * KEPT_SUMS:
-                    summed()
-                    if len(rows[0]) > KEPT_SUMS:
-                        yield given_out()
-                        rows.clear()
-                        sums.clear()
-    if rows:
-        summed()
+                logs = unplaned(value("n"), np.int64)[some] * np.log10(1 + two[some] / (MU * m.share(c[some])))
+                row = value("row")
+                sums[row] = plus(sums.get(row), np.bincount(unplaned(value("owner"), np.int64)[some], logs))
+    if sums:
         yield given_out()
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, pairs) of each document from the sums of slices, which come by slice; one slice is held."""
+    here: int | None = None
+    held: np.ndarray | None = None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"row": pa.array(here + np.arange(len(held))), "pairs": pa.array(held)})
+
+    for batch in batches:
+        for row, sums in zip(batch.column("row").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            if row != here:
+                if held is not None:
+                    yield done()
+                here, held = row, None
+            held = plus(held, np.frombuffer(sums).copy())
+    if held is not None:
+        yield done()
+
+
 def scored(docs: DataFrame, model: Model, words: DataFrame, held_out: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -461,24 +455,28 @@ def scored(docs: DataFrame, model: Model, words: DataFrame, held_out: Column | N
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model.known)
     d = docs.select(F.monotonically_increasing_id().alias("row"), docs[key].alias("id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), docs[text].alias("text"))
-    given = f"kind int, row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
-    sent = given + ", segment long, gram binary, n binary, c binary, words binary, owner binary"
+    given = f"kind int, row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, n_rare array<int>, sums binary"
+    sent = given + ", block int, segment long, gram binary, n binary, c binary, words binary, owner binary"
     like = docs.sparkSession.createDataFrame([], sent).schema
     arrow, names, segments = to_arrow_schema(like), [x.split()[0] for x in given.split(", ")], model.segments
-    dealt = d.mapInArrow(lambda b: _deal(b, shared, segments, arrow), sent).unionByName(model.pairs.withColumn("kind", F.lit(COUNTS)), allowMissingColumns=True)
-    s = dealt.repartition("segment").sortWithinPartitions("segment", "kind").mapInArrow(lambda b: _look_up(b, shared, names), given)
+    # counts go to each block of documents
+    blocks = max(1, math.ceil(docs.count() / BLOCK))
+    counts = model.pairs.withColumns({"kind": F.lit(COUNTS), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    dealt = d.mapInArrow(lambda b: _deal(b, shared, segments, arrow, blocks), sent).unionByName(counts, allowMissingColumns=True)
+    s = dealt.repartition(TASKS, "block", "segment").sortWithinPartitions("block", "segment", "kind").mapInArrow(lambda b: _look_up(b, shared, names), given)
     s = stored(s, "scores")
     all_tokens, floor = model.known.tokens, model.known.tokens + 0.5 * (model.known.kinds + 1)
-    sums = s.filter(F.col("kind") == PAIRS).groupBy("row").agg(F.sum("score").alias("pairs"))
-    s = s.filter(F.col("kind") == DOCUMENT).drop("kind")
-    rare = s.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("n"))
+    sums = s.filter(F.col("kind") == PAIRS).select("row", "sums").repartition("row").sortWithinPartitions("row").mapInArrow(_added, "row long, pairs double")
+    s = s.filter(F.col("kind") == DOCUMENT).drop("kind", "sums")
+    rare = s.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("n_rare").alias("n"))))
     # words of count 0 too: an inner join would lose their share of the score
     c = F.coalesce("c", F.lit(0))
     log = F.log10((c + 0.5) / F.lit(floor))
-    rest = rare.join(words, "word", "left").groupBy("row").agg(
+    # short whole numbers are shuffled rather than sums of logs
+    rest = rare.join(words, "word", "left").select("row", "n", "c").repartition("row").groupBy("row").agg(
         F.sum(F.col("n") * log).alias("rest"), F.sum(F.col("n") * (log + F.lit(math.log10(MU)) - F.log10(c + F.lit(MU)))).alias("back"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more")
     )
-    out = s.drop("rare").join(rest, "row", "left").join(sums, "row", "left")
+    out = s.drop("rare", "n_rare").join(rest, "row", "left").join(sums, "row", "left")
     return out.select(
         F.col("id").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(all_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("back", F.lit(0.0)) + F.coalesce("pairs", F.lit(0.0))).alias("score"),

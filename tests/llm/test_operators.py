@@ -8,11 +8,13 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from studyloom.llm import bpe, langid, lm, mixing, near_dups, quality, secret_scan, sharding, token_counts, top_k
-from studyloom.llm.common import numbered
+from studyloom.llm.common import lower_words, numbered
 from studyloom.llm.queries import vocabulary
 from tests.llm import brute
 
@@ -384,6 +386,33 @@ def test_lm_keeps_every_pair_at_any_size(spark, docs, records, size):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_lm_sums_of_documents_go_by_slice(spark, docs, records, monkeypatch):
+    """A task gives one row for all documents of a slice, not one for each, whatever the number of segments and blocks."""
+    kept = {}
+
+    def stored(df, name, store=lm.stored):
+        kept[name] = store(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(lm, "stored", stored)
+    monkeypatch.setattr(lm, "BLOCK", 20)
+    monkeypatch.setattr(lm, "TASKS", 2)
+    train = [(i, t) for i, t, *_ in records]
+    model, words = lm.trained(spark.createDataFrame(train, "doc_id long, text string"), lm.Size(top_words=40, tokens_per_segment=256))
+    held = [(k, t) for k, (_, t) in enumerate(train)]
+    got = {r["doc_id"]: r["score"] for r in lm.scored(spark.createDataFrame(held, "doc_id long, text string").repartition(5), model, words).collect()}
+    assert got == pytest.approx(brute.pair_scores([t for _, t in train], held, lm.MU), abs=1e-6)
+    assert kept["scores"].filter(F.col("kind") == lm.PAIRS).count() <= 5 * 2
+    assert kept["scores"].filter(F.col("kind") == lm.DOCUMENT).count() == len(held)
+
+
+def test_lm_words_are_those_of_the_contract():
+    texts = [" a  B\x1cc \u0130 \x85x\x0b\x0cY\u3000z", "", None, "  \t ", "\tA a\n"]
+    numbers, first, hashes = lm.words_of(pa.array(["cut off", *texts], pa.string())[1:])
+    want = [[*(xxh64_intdigest(w.encode()) for w in lower_words(t or "")), xxh64_intdigest(b" ")] for t in texts]
+    assert [hashes[x].tolist() for x in np.split(numbers, first[1:])] == want
+
+
 def test_filter_reads_levels_back():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 2**63, 20_000, np.int64).astype(np.uint64)
