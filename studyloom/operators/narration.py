@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from studyloom.functions import text as T
 from studyloom.plans.ordered import Running, by_index, scan
-from studyloom.session import cut_lineage
+from studyloom.session import cut_lineage, stored
 
 PAPER, IDX = "paper_id", "idx"
 KEEP_EXPLAINING = 3  # fixed value: sentences that keep a visual up
@@ -87,7 +87,7 @@ def _carry(d: DataFrame, shown: Column, anchors: Column, resets: Column, eligibl
     event = F.when(F.col("_an"), F.struct(F.col("_val").alias("v"), F.col("section").alias("s"), F.col("_count").alias("c"))).when(
         F.col("_re"), F.struct(F.lit(None).cast("string").alias("v"), F.lit(None).cast("long").alias("s"), F.lit(0).cast("long").alias("c"))
     )
-    d = scan(cut_lineage(d), [PAPER], [IDX], by_index(IDX), [Running("_last", "last_before", event)])
+    d = scan(stored(d), [PAPER], [IDX], by_index(IDX), [Running("_last", "last_before", event)])
     ok = (F.col("_el") == 1) & (F.col("_last.s") == F.col("section")) & (F.col("_count") - F.col("_last.c") <= keep)
     return d.withColumn("_kept", F.when(ok, F.col("_last.v"))).drop("_el", "_an", "_re", "_val", "_count", "_last")
 
