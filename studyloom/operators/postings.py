@@ -23,18 +23,24 @@ def _part(word: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(parts)).cast("int")
 
 
+def postings_of(d: DataFrame, parts: int, slots: int) -> DataFrame:
+    """The rows of postings of d(key, _w): words are shuffled once, by (word, slot), and counted and gathered there."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")
+    each = d.select("key", slot.alias("slot"), F.explode("_w").alias("word")).filter("word <> ''")
+    once = each.repartition("word", "slot").groupBy("word", "slot", "key").agg(F.count(F.lit(1)).alias("tf"))
+    rows = once.groupBy("word", "slot").agg(F.array_sort(F.collect_list(F.struct("key", "tf"))).alias("_p"), F.max("tf").alias("most"))
+    return rows.select("word", "slot", "most", F.size("_p").cast("long").alias("n"), F.col("_p.key").alias("keys"), F.col("_p.tf").alias("tfs"), _part(F.col("word"), parts).alias("part"))
+
+
 def write_index(works: DataFrame, path: str, text: str = "text", key: str = "key", parts: int = 32, slots: int = 256) -> None:
     """The index of works(key, text) at `path`, replacing one that is there.
 
     A row of postings holds about works / `slots` keys at most, whatever the word, so `slots` grows with the catalogue; with
-    `parts` it sets how much of the table a search opens. Counting is combined before the one shuffle by (word, slot).
+    `parts` it sets how much of the table a search opens. Rows are dealt to their files after the one shuffle by (word, slot).
     Null texts have no words; works with a null key are left out.
     """
     d = works.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+").alias("_w"))
-    once = d.select("key", F.explode("_w").alias("word")).filter("word <> ''").groupBy("word", "key").agg(F.count(F.lit(1)).alias("tf"))
-    slot = F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int")
-    rows = once.groupBy("word", slot.alias("slot")).agg(F.array_sort(F.collect_list(F.struct("key", "tf"))).alias("_p"), F.max("tf").alias("most"))
-    rows = rows.select("word", "slot", "most", F.size("_p").cast("long").alias("n"), F.col("_p.key").alias("keys"), F.col("_p.tf").alias("tfs"), _part(F.col("word"), parts).alias("part"))
+    rows = postings_of(d, parts, slots)
     rows.repartition("part").sortWithinPartitions("part", "word", "slot").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     counted = d.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(parts).alias("parts"), F.lit(slots).alias("slots"))
     counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
