@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from studyloom.streaming import steps
 
 MEMORY_STATE = "stage string, due long, stability double, difficulty double, reps int, lapses int, last_review long"
 MEMORY_OUT = f"learner_id long, item_id int, {MEMORY_STATE}, late long"
+MEMORY_NAMES = [c.split()[0] for c in MEMORY_OUT.split(", ")]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -53,17 +55,20 @@ def latest(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def _apply_reviews(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     learner, item = key
-    log = pd.concat(list(chunks)).sort_values(["ts_us", "seq"])  # one item's answers in one micro-batch
+    # one item's answers in one micro-batch; most items have few, so frames of their own would cost more than the step
+    ts_us, seq, ratings = (np.concatenate(c) for c in zip(*((c["ts_us"].to_numpy(), c["seq"].to_numpy(), c["rating"].to_numpy()) for c in chunks)))
+    order = np.lexsort((seq, ts_us))
     memory, late = tuple(state.get) if state.exists else None, 0
-    for ts, rating in zip(log["ts_us"].tolist(), log["rating"].tolist()):
+    seed = steps.fnv1a(f"{learner}-{item}/")
+    for ts, rating in zip(ts_us[order].tolist(), ratings[order].tolist()):
         if memory is None:
             memory = ("New", int(ts), 0.0, 0.0, 0, 0, None)
         if memory[6] is None or ts >= memory[6]:
-            memory = steps.review(memory, int(ts), int(rating), f"{learner}-{item}")
+            memory = steps.review(memory, int(ts), int(rating), "", seed=seed)
         else:
             late += 1
     state.update(memory)
-    yield pd.DataFrame([[learner, item, *memory, late]], columns=["learner_id", "item_id", "stage", "due", "stability", "difficulty", "reps", "lapses", "last_review", "late"])
+    yield pd.DataFrame({name: [v] for name, v in zip(MEMORY_NAMES, (learner, item, *memory, late), strict=True)})
 
 
 def stream_reviews(reviews: DataFrame) -> DataFrame:
